@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, sharding
+from . import chat, exact_dedup, idfile, packing, sharding
 from .common import load
 
 
@@ -25,9 +25,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    packed = packing.pack_documents(load(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.groups(load(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op4_sharding, op7_exact_dedup)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids written to coded files and read back."""
+    files = idfile.write_ids(load(spark, sf_dir, "documents"))
+    back = idfile.read_documents(files).select("doc_id", "part", "seq", "before", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return back.join(F.broadcast(idfile.starts(files)), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op4_sharding, op5_packing, op7_exact_dedup, op10_token_files)}
