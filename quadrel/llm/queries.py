@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, idfile, packing, sharding
+from . import chat, exact_dedup, idfile, jaccard, packing, sharding
 from .common import load
 
 
@@ -20,6 +20,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"), F.length("under").cast("bigint").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document: 3 words, Jaccard similarity of 0.9 or more."""
+    return jaccard.link_documents(load(spark, sf_dir, "documents"), 3, "0.9").select("doc_id", "n_shingles", "component_id")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     return sharding.shard(load(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
@@ -40,7 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' ids written to coded files and read back."""
     files = idfile.write_ids(load(spark, sf_dir, "documents"))
     back = idfile.read_documents(files).select("doc_id", "part", "seq", "before", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return back.join(F.broadcast(idfile.starts(files)), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return back.join(idfile.starts(files), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op4_sharding, op5_packing, op7_exact_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op7_exact_dedup, op10_token_files)}
