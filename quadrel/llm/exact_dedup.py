@@ -17,7 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WHITE, fresh_path, keep_ids, materialise
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, its changes (not whole snapshots) checkpointed, no space reserved ahead.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _normal(text):
@@ -34,9 +39,10 @@ def fingerprints(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
 def stream_state(prints: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Run the stream over the fingerprint files at ``path`` to its end; the state: one row per digest."""
     spark = prints.sparkSession
-    out, conf = fresh_path(spark, "dedup-state"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, ROCKSDB)
+    out = fresh_path(spark, "dedup-state")
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(prints.schema)
         if files_per_batch:
@@ -49,7 +55,8 @@ def stream_state(prints: DataFrame, path: str, files_per_batch: int | None = Non
         query = keyed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = "digest string, keeper struct<no_id: boolean, doc_id: bigint, row_no: bigint, locator: string>, group_size bigint, batch int"
     if not prints.take(1):
         return spark.createDataFrame([], state)
