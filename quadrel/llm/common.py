@@ -16,12 +16,15 @@ import xxhash
 from pyspark import StorageLevel  # noqa: F401  (re-exported for operators)
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 WHITE = "[\\x20\\x09-\\x0D]+"
 #: Rows that one broadcast of ids may have; beyond it the same join shuffles.
 BROADCAST_IDS = 4_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -42,6 +45,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
