@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WHITE, fresh_path, keep_ids, materialise
 
-#: State on disk, its changes (not whole snapshots) checkpointed, no space reserved ahead.
+#: State on disk with little memory a partition, and no space reserved ahead.
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
