@@ -40,37 +40,39 @@ def chain(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Level k: node, ancestor 2**k above it (null beyond the root), hops made and score gathered."""
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(level k: nodes with an ancestor 2**k above, and it; hops to the root and score gathered of every node).
+
+    Nodes that have reached their root leave the rounds, so the rows of round k are the nodes
+    deeper than 2**k.
+    """
     known = nodes.select(F.col("conv_id").alias("c"), F.col("node_id").alias("n")).distinct()
     up = nodes.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent_id") == F.col("n")), "left")
-    level = materialise(up.select("conv_id", "node_id", F.col("n").alias("up"), F.when(F.col("n").isNotNull(), 1).otherwise(0).cast("bigint").alias("hops"), F.coalesce("score", F.lit(0.0)).alias("gathered")), "jump")
-    levels = [level]
-    total = level.count()
-    while 2 ** len(levels) <= 2 * max(total, 1) and not level.filter("up is not null").isEmpty():
-        above = level.select(F.col("conv_id").alias("c"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("gathered").alias("gathered2"))
-        joined = level.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
-        level = materialise(joined.select("conv_id", "node_id", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("gathered") + F.coalesce("gathered2", F.lit(0.0))).alias("gathered")), "jump")
-        levels.append(level)
-    return levels
+    state = materialise(up.select("conv_id", "node_id", F.col("n").alias("up"), F.when(F.col("n").isNotNull(), 1).otherwise(0).cast("bigint").alias("hops"), F.coalesce("score", F.lit(0.0)).alias("gathered")), "jump")
+    rooted, level, levels, total = state.filter("up is null"), state.filter("up is not null"), [], state.count()
+    while 2 ** len(levels) <= 2 * max(total, 1) and not level.isEmpty():
+        levels.append(level.select("conv_id", "node_id", "up"))
+        every = rooted.unionByName(level)
+        above = every.select(F.col("conv_id").alias("c"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("gathered").alias("gathered2"))
+        joined = level.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")))
+        state = materialise(joined.select("conv_id", "node_id", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("gathered") + F.col("gathered2")).alias("gathered")), "jump")
+        rooted, level = rooted.unionByName(state.filter("up is null")), state.filter("up is not null")
+    return levels, rooted
 
 
 def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """conv_id, leaf_id, rank, pos, role, text: turns of the ``branches`` best paths (None: all) of each conversation."""
     nodes = materialise(messages.select("conv_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score"), "nodes")
-    levels = _jumps(nodes)
+    levels, rooted = _jumps(nodes)
     parents = nodes.select(F.col("conv_id").alias("c"), F.col("parent_id").alias("p")).filter("p is not null").distinct()
-    top = levels[-1].filter("up is null")
-    leaves = top.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node_id") == F.col("p")), "left_anti")
+    leaves = rooted.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node_id") == F.col("p")), "left_anti")
     best = Window.partitionBy("conv_id").orderBy(F.desc(F.col("gathered") / (F.col("hops") + 1)), F.desc("hops"), "node_id")
     leaves = leaves.withColumn("rank", F.row_number().over(best))
     if branches is not None:
         leaves = leaves.filter(F.col("rank") <= branches)
     on = leaves.select("conv_id", F.col("node_id").alias("leaf_id"), "rank", F.col("node_id").alias("at"), F.col("hops").alias("pos"))
     for k, level in enumerate(levels):
-        if k + 1 == len(levels) and k:
-            break
-        jump = level.filter("up is not null").select(F.col("conv_id").alias("c"), F.col("node_id").alias("n"), "up")
+        jump = level.select(F.col("conv_id").alias("c"), F.col("node_id").alias("n"), "up")
         more = on.join(jump, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at") == F.col("n")))
         on = on.unionByName(more.select("conv_id", "leaf_id", "rank", F.col("up").alias("at"), (F.col("pos") - 2**k).alias("pos")))
         on = materialise(on, "path")
