@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, idfile, jaccard, packing, sharding
+from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, sharding
 from .common import load
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document holds, within a fifth of the item's words in edits."""
+    found = decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "edit_distance", "item_words", "end_word")
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted; digests are read back from the formatted text."""
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -48,4 +54,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(idfile.starts(files), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op7_exact_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op7_exact_dedup, op10_token_files)}
