@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, sharding
+from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, sharding, toxicity
 from .common import load
 
 
@@ -42,6 +42,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of every document."""
     return exact_dedup.groups(load(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -54,4 +59,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(idfile.starts(files), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op7_exact_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op6_toxicity, op7_exact_dedup, op10_token_files)}
