@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, sharding, toxicity, urls
 from .common import load
 
 
@@ -52,6 +52,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(load(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.filter_urls(load(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' ids written to coded files and read back."""
     files = idfile.write_ids(load(spark, sf_dir, "documents"))
@@ -59,4 +64,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(idfile.starts(files), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op6_toxicity, op7_exact_dedup, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op6_toxicity, op7_exact_dedup, op8_url_filter, op10_token_files)}
