@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, sharding, toxicity, urls
+from . import chat, decontaminate, exact_dedup, idfile, jaccard, packing, recurrent, sharding, toxicity, urls
 from .common import load
 
 
@@ -57,6 +57,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(load(spark, sf_dir, "pages"))
 
 
+def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document's text."""
+    return recurrent.score(load(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' ids written to coded files and read back."""
     files = idfile.write_ids(load(spark, sf_dir, "documents"))
@@ -64,4 +69,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.join(idfile.starts(files), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op6_toxicity, op7_exact_dedup, op8_url_filter, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_chat, op3_jaccard_join, op4_sharding, op5_packing, op6_toxicity, op7_exact_dedup, op8_url_filter, op9_recurrent_lm, op10_token_files)}

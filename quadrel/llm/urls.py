@@ -2,7 +2,7 @@
 
 Rules (host and path prefix) decide first, the longest that fits. For the rest, paths become
 templates, level by level and per host: below one template prefix, a segment stays literal if
-it is common there, or if there are few different ones; all others are variable and become
+it is common there, or if there are few different ones; all others, and numbers, are variable and become
 ``*``; below ``DEPTH`` segments everything is ``**``. Sibling templates that differ in one
 literal are merged into their family unless their labelled rates differ significantly. A
 template is rejected if its smoothed share of bad labelled pages reaches ``REJECT``.
@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialise
 
 DEPTH, FEW, COMMON, LEAST = 6, 8, 0.02, 5
+#: Segments that are variable wherever they stand: numbers, and hexadecimal names with a digit.
+VARIABLE = r"(?i)^(\d+|(?=.*\d)[0-9a-f-]{8,})(\.\w+)?$"
 #: Pseudo-count and threshold of the smoothed purity; z of significantly different rates.
 PRIOR_WEIGHT, REJECT, DIFFERENT = 4.0, 0.8, 1.96
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -66,7 +68,7 @@ def templates(paths: DataFrame) -> DataFrame:
         children = here.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
         above = children.groupBy("host", "template").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         literal = children.join(above, ["host", "template"]).filter((F.col("kinds") <= FEW) | ((F.col("n") >= LEAST) & (F.col("n") >= COMMON * F.col("total"))))
-        literal = literal.select("host", "template", "segment", F.lit(True).alias("literal"))
+        literal = literal.filter(~F.col("segment").rlike(VARIABLE)).select("host", "template", "segment", F.lit(True).alias("literal"))
         t = t.join(literal, ["host", "template", "segment"], "left")
         step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
         t = materialise(t.withColumn("template", F.concat("template", step)).drop("segment", "literal"), "templates")
