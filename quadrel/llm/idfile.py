@@ -280,7 +280,7 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END, se
             for lo in range(0, len(ids), 500):
                 for doc, x in zip(ids[lo : lo + 500], pieces(texts.slice(lo, 500).to_pylist())):
                     names.append(doc)
-                    found.append(np.append(x, np.uint32(end)).astype(np.uint16))
+                    found.append(np.append(x, np.uint16(end)))
                     held += len(found[-1])
                     if held >= segment:
                         yield flush()
