@@ -13,8 +13,8 @@ measured on the items.
 
 Windows that cannot hold any item are not walked. This loses nothing: k edits of an item of L
 words leave at least L - (n - 1) - n k of its runs of n words, and one run of (L - k) / (k + 1),
-in the stretch, whose length is at most L + k; running counts of the benchmark's runs of one to
-four words tell where that many can be.
+in the stretch, whose length is at most L + k; windows are sought around the longest run, which
+must be one of an item of that length, and counts of shorter runs tell where enough can be.
 
 Items are a query set of bounded blocks (``BLOCK_ITEMS``), each block a pass over the documents'
 words; documents are read whole, in place, without a shuffle.
@@ -106,7 +106,13 @@ class Index:
         self.by_length: dict[int, list[int]] = defaultdict(list)
         for i, (_, words) in enumerate(self.items):
             self.by_length[len(words)].append(i)
-        self.runs = {n: np.unique(np.concatenate([self.grams(w, n)[0] for _, w in self.items] or [np.zeros(0, np.int64)])) for n in (2, 3, 4)}
+        self.runs = {n: np.unique(np.concatenate([self.grams(w, n)[0] for _, w in self.items] or [np.zeros(0, np.int64)])) for n in (1, 2, 3, 4)}
+        # which lengths of items have which runs
+        self.lengths = sorted(self.by_length)
+        self.has = {n: np.zeros((len(table), len(self.lengths)), bool) for n, table in self.runs.items()}
+        for _, w in self.items:
+            for n, table in self.runs.items():
+                self.has[n][np.searchsorted(table, self.grams(w, n)[0]), self.lengths.index(len(w))] = True
         longest = max(self.by_length, default=0)
         rng = np.random.default_rng(SEED)
         self.most_steps = STEPS_PER_WORD * longest
@@ -199,35 +205,43 @@ class Index:
             trials += 8
         return max(agree / trials, 0.01)
 
-    def _known(self, words: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
-        """Where the words have a run of n that some item has."""
+    def _known(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words have a run of n that some item has, and the number of that run."""
         code, at = self.grams(words, n)
-        return at[table[np.minimum(np.searchsorted(table, code), len(table) - 1)] == code] if len(code) and len(table) else at[:0]
+        table = self.runs[n]
+        if not len(code) or not len(table):
+            return at[:0], at[:0]
+        k = np.minimum(np.searchsorted(table, code), len(table) - 1)
+        same = table[k] == code
+        return at[same], k[same]
 
     def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item length, starts of windows that could hold such an item); words end in enough zeros."""
         n = len(words)
-        needs = {length: (k, needed(length, k)) for length in self.by_length for k in [edits_allowed(length, self.similarity)]}
+        found = {size: self._known(words, size) for size in self.runs}
         sums = []
-        for where in (np.flatnonzero(words > 0), *(self._known(words, size, table) for size, table in self.runs.items())):
+        for size in (1, 2):
             x = np.zeros(n + 1, np.int32)
-            x[where + 1] = 1
+            x[found[size][0] + 1] = 1
             sums.append(np.cumsum(x, dtype=np.int32))
-        widest = max(length + k for length, (k, _) in needs.items())
-        begin = np.arange(n)
-        ok = np.ones(n, bool)
-        for i, s in enumerate(sums):  # what every length needs at least
-            least = min(need[i] for _, need in needs.values())
-            if least > 0:
-                ok &= s[np.minimum(begin + widest, n)] - s[:-1] >= least
-        begin = np.flatnonzero(ok)
-        for length, (k, need) in needs.items():
-            end, ok = np.minimum(begin + length + k, n), np.ones(len(begin), bool)
+        for i, length in enumerate(self.lengths):
+            k = edits_allowed(length, self.similarity)
+            need = needed(length, k)
+            size = max(m for m in (1, 2, 3, 4) if need[m - 1] > 0)
+            at, which = found[size]
+            at = at[self.has[size][which, i]]  # the run must be one of an item of this length
+            if not len(at):
+                continue
+            reach = length + k
+            starts = np.unique(at[:, None] - np.arange(reach - size + 1))
+            starts = starts[starts >= 0]
+            end = np.minimum(starts + reach, n)
+            ok = np.searchsorted(at, end - size, "right") - np.searchsorted(at, starts, "left") >= need[size - 1]
             for s, least in zip(sums, need):
                 if least > 0:
-                    ok &= s[end] - s[begin] >= least
+                    ok &= s[end] - s[starts] >= least
             if ok.any():
-                yield length, begin[ok]
+                yield length, starts[ok]
 
     def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edit distance, words of the item, end of the stretch) of all items that the texts hold."""
@@ -252,6 +266,8 @@ class Index:
             k = edits_allowed(len(w), self.similarity)
             best = None
             for lo, hi in _merged(sorted(starts), k, len(w) + k, len(texts[text])):
+                if np.isin(w, texts[text][lo:hi]).sum() < len(w) - k:
+                    continue  # too few of its words are there at all
                 d, end = best_stretch(w, texts[text][lo:hi])
                 if d <= k and (best is None or (d, lo + end) < best):
                     best = (d, lo + end)
