@@ -9,7 +9,7 @@ mix two adaptive models (confidence of both predictions; outcomes of the last tw
 weights that follow how well each has predicted. Ids that neither predicts are coded by the
 segment's order-0 frequencies. All blocks of a segment advance together, one id a step, as
 numpy lanes; a lane never reads another lane's state. A reader checks magic, header crc and
-every block's crc.
+every block's crc, which covers its ids and its code.
 
 Files are written in ascending doc_id order: range-partitioned, sorted, segments cut at
 document boundaries. Bytes go through Spark's writers, so any store Spark reaches will do.
@@ -203,7 +203,7 @@ def encode(docs: list[int | None], lengths: list[int], ids: np.ndarray, block: i
         model.update(now, out)
     codes = writer.close()
     wide = ids.astype("<u4")
-    crcs = [zlib.crc32(wide[i * block : (i + 1) * block]) for i in range(lanes)]
+    crcs = [zlib.crc32(codes[i], zlib.crc32(wide[i * block : (i + 1) * block])) for i in range(lanes)]
     parts = [np.array([NO_DOC if d is None else d for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array(lengths, "<i8"), kinds.astype("<u2"), freq.astype("<u4"), np.array([len(c) for c in codes], "<u4"), np.array(crcs, "<u4")]
     packed = [zlib.compress(p.tobytes(), 1) for p in parts]
     head = struct.pack("<QIII7I", total, len(docs), block, lanes, *map(len, packed)) + b"".join(packed)
@@ -250,8 +250,8 @@ def decode(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         model.update(now, out)
         steps[k] = now
     ids = np.ascontiguousarray(steps.T).reshape(-1)[:total].astype("<u4")
-    for i, crc in enumerate(crcs):
-        if zlib.crc32(ids[i * block : (i + 1) * block]) != crc:
+    for i, (crc, at, size) in enumerate(zip(crcs, begin.tolist(), bytes_.tolist())):
+        if zlib.crc32(code[at : at + size], zlib.crc32(ids[i * block : (i + 1) * block])) != crc:
             raise ValueError(f"checksum of block {i}")
     return names, lengths, ids
 
