@@ -23,8 +23,20 @@ WHITE = "[\\x20\\x09-\\x0D]+"
 BROADCAST_IDS = 4_000_000
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+#: Rows of an Arrow batch: whole texts, so far fewer than Spark's own default, in both Python and the JVM.
+BATCH_ROWS = 2_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and keep Arrow batches of whole texts small; a smaller setting of the session stays."""
     ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -45,7 +57,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    ship(spark)
+    prepare(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -71,7 +83,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int =
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    bound = 400_000
+    bound = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.bound:

@@ -55,7 +55,7 @@ class _Normal(dict):
         self.numbers = numbers
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         bare = word.strip(EDGE)
         n = self[word] = self.numbers.get(bare, 0) if bare else -1

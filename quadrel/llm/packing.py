@@ -39,9 +39,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM,
         pieces = Pieces(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 500):
+            for lo in range(0, len(ids), 200):
                 rows: list[tuple] = []
-                for doc, found in zip(ids[lo : lo + 500], pieces(texts.slice(lo, 500).to_pylist())):
+                for doc, found in zip(ids[lo : lo + 200], pieces(texts.slice(lo, 200).to_pylist())):
                     whole = np.append(found.astype("<u4"), np.array([end], "<u4"))
                     rows += [(doc, s, min(room, len(whole) - s), whole[s : s + room].tobytes(), len(whole)) for s in range(0, len(whole), room)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), fields)], schema=fields)

@@ -41,7 +41,7 @@ def chunks_of(text: str | None) -> list[str]:
 class Pieces:
     """Ids of chunks, kept in one growing array; forgotten when there are more than ``bound``."""
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,7 +55,8 @@ class Pieces:
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.encode(new, add_special_tokens=False)]
+        # in lots, as encodings take far more memory than their ids
+        found = [e.ids for lo in range(0, len(new), 4096) for e in self.encode(new[lo : lo + 4096], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         first, total = len(self.index), int(n.sum())
         while first + len(new) > len(self.begin):

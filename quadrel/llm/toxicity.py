@@ -140,7 +140,7 @@ def decode(chunk: str, model: CharModel) -> str:
 class Restorer:
     """Restored words of lower-cased texts, remembered by chunk up to a bound."""
 
-    def __init__(self, model: CharModel, bound: int = 200_000):
+    def __init__(self, model: CharModel, bound: int = 100_000):
         self.model, self.bound, self.known = model, bound, {}
 
     def words(self, chunk: str) -> tuple[str, ...]:
@@ -268,7 +268,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame
                 for w in restore.text(text.as_py()):
                     h = hits.get(w)
                     if h is None:
-                        if len(hits) > 300_000:
+                        if len(hits) > 100_000:
                             hits.clear()
                         h = hits[w] = tuple(f for f in beginnings(w) if f in weights)
                     if h:
