@@ -242,7 +242,7 @@ def _last(x: str) -> str:
     return f"regexp_extract(regexp_extract({x}, '[^/]*$'), '[^#]*$')"
 
 
-@query("notation_R30", f"{Q} SELECT s AS cls, {_last('s')} || ' ⊑ ' || {_last('o')} AS axiom FROM {_SUB} WHERE o_kind = 'iri' UNION SELECT a.s, {_last('a.s')} || ' ⊑ ∃contains.' || {_last('f.o')} FROM {_SUB} a JOIN {of(OWL.someValuesFrom)} f ON f.s = a.o UNION SELECT s, {_last('s')} || ' ⊑ ⊤' FROM dg WHERE p = '{TYPE}' AND o = '{CLASS}' AND s NOT IN (SELECT s FROM {_SUB})")
+@query("notation_R30", f"{Q} SELECT s AS cls, {_last('s')} || ' ⊑ ' || {_last('o')} AS axiom FROM {_SUB} WHERE o_kind = 'iri' UNION SELECT a.s, {_last('a.s')} || ' ⊑ ∃contains.' || {_last('f.o')} FROM {_SUB} a JOIN (SELECT s, min(o) AS o FROM {of(OWL.someValuesFrom)} GROUP BY s) f ON f.s = a.o UNION SELECT s, {_last('s')} || ' ⊑ ⊤' FROM dg WHERE p = '{TYPE}' AND o = '{CLASS}' AND s NOT IN (SELECT s FROM {_SUB})")
 def notation(spark, d):
     from .operators.ontology import notation as dl
 
