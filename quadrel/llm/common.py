@@ -13,7 +13,6 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators)
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship

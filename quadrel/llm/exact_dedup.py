@@ -96,8 +96,6 @@ def _members(docs: DataFrame, prints: DataFrame, multi: DataFrame) -> DataFrame:
 
 def _collisions(docs: DataFrame, prints: DataFrame, multi: DataFrame) -> DataFrame | None:
     """Digests under which some text differs from the retained row's text in any byte; None: there are none."""
-    size = prints.schema["digest"]
-    assert size is not None
     width = prints.select(F.length("digest").alias("n")).first()
     if width is None:
         return None
