@@ -14,7 +14,7 @@ from .operators.structure import Structure
 from .plans import fixpoint
 from .plans.bgp import Solutions, default_graph
 from .plans.sparql import sparql
-from .schema import DEFAULT_PREFIXES, DEFINITION, LABEL, OWL, RDFS, SKOS, SKOS_RELATIONS, SUB, TERM, TYPE, XSD
+from .schema import DEFAULT_PREFIXES, DEFINITION, LABEL, OWL, RDFS, SKOS, SKOS_RELATIONS, SUB, TYPE, XSD
 from .sources.rdfize import EX, ansi, quads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -957,5 +957,3 @@ def properties(spark, d):
 def reparent(spark, d):
     return _patterns(spark, d).p7().withColumn("reparent_children", F.array_join("reparent_children", ","))
 
-
-assert TERM
