@@ -11,8 +11,10 @@ Counts cover all training documents: every task counts its words, hash and class
 counts are summed by hash. Scoring looks the ``TOP`` most frequent words up locally, whatever
 the size of the corpus; all other words travel, packed by flush, to the task of their hash
 range, which holds their counts and returns sums by document. The network's weights are fitted
-by truncated backpropagation in numpy on at most ``FIT_TOKENS`` tokens of training documents
-(whole documents, smallest hash first), since a network of this size gains nothing from more.
+by truncated backpropagation in numpy on all training documents: it starts from ``EPOCHS`` epochs
+over about ``FIT_TOKENS`` tokens (whole documents, smallest hash first), then every task goes on
+from there over all documents of its partition, lot by lot, and the tasks' weights are averaged
+by tokens.
 
 Defined cases: a null text is empty and has one token, the end; a null doc_id is not held out;
 repeated rows are scored each and counted each; without training tokens every word is unseen
@@ -24,7 +26,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,7 @@ from .common import materialise, words_of
 
 CLASSES, SINGLES, HIDDEN = 128, 63, 32
 TOP, FIT_TOKENS, EPOCHS, WINDOW, LANES = 65_536, 800_000, 3, 32, 192
+LOT_TOKENS, RATE = 400_000, 0.001
 FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
 END_HASH = 0x656E64
 PUNCTUATION = b".,;:!?#%*&$|()[]{}\"'-"
@@ -107,6 +110,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash bigint, class int, n bigint").groupBy("hash", "class").agg(F.sum("n").alias("n"))
 
 
+class Adam:
+    """Running moments of the gradients."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.first, self.second, self.t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: Callable[[int], float]) -> None:
+        self.t += 1
+        t, a = self.t, rate(self.t)
+        for k, v in g.items():
+            np.clip(v, -0.5, 0.5, out=v)
+            self.first[k] += 0.1 * (v - self.first[k])
+            self.second[k] += 0.005 * (v * v - self.second[k])
+            p[k] -= (a * (self.first[k] / (1 - 0.9**t)) / (np.sqrt(self.second[k] / (1 - 0.995**t)) + 1e-6)).astype(np.float32)
+
+
 class Network:
     """A gated recurrent unit over classes with a class softmax."""
 
@@ -132,29 +151,33 @@ class Network:
         return a - np.log(np.exp(a).sum(1, keepdims=True))
 
     def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.006) -> None:
-        """Truncated backpropagation: lanes of joined documents, state carried from window to window, Adam."""
+        """Fit from nothing, with a falling rate."""
         if not documents:
             return
-        stream = np.concatenate([np.concatenate([[CLASSES], d]) for d in documents]).astype(np.int64)
-        prior = np.bincount(stream, minlength=CLASSES + 1)[:CLASSES] + 0.5
+        prior = np.bincount(np.concatenate(documents), minlength=CLASSES)[:CLASSES] + 0.5
         self.p["c"] = np.log(prior / prior.sum()).astype(np.float32)
-        lanes = max(1, min(LANES, len(stream) // (4 * WINDOW)))
-        length = len(stream) // lanes
-        grid = stream[: lanes * length].reshape(lanes, length).T
-        first, second, t = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        rounds = epochs * max(1, (length - 1) // WINDOW)
+        grid, adam = self._lanes(documents), Adam(self.p)
+        rounds = epochs * max(1, (len(grid) - 1) // WINDOW)
         for _ in range(epochs):
-            h = np.zeros((lanes, HIDDEN), np.float32)
-            for lo in range(0, length - 1, WINDOW):
-                steps = range(lo, min(lo + WINDOW, length - 1))
-                h, g = self._window(grid, steps, h)
-                t += 1
-                a = rate * (1 - 0.95 * t / rounds) if t < rounds else rate * 0.05
-                for k, v in g.items():
-                    np.clip(v, -0.5, 0.5, out=v)
-                    first[k] += 0.1 * (v - first[k])
-                    second[k] += 0.005 * (v * v - second[k])
-                    self.p[k] -= (a * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.995**t)) + 1e-6)).astype(np.float32)
+            self._pass(grid, adam, lambda t: rate * (1 - 0.95 * t / rounds) if t < rounds else rate * 0.05)
+
+    def go_on(self, documents: list[np.ndarray], adam: Adam) -> None:
+        """One pass over a lot of further documents."""
+        self._pass(self._lanes(documents), adam, lambda t: RATE)
+
+    def _lanes(self, documents: list[np.ndarray]) -> np.ndarray:
+        """Joined documents, cut into lanes; the last lane is filled up with document starts, which are not predicted."""
+        stream = np.concatenate([np.concatenate([[CLASSES], d]) for d in documents]).astype(np.int64)
+        lanes = max(1, min(LANES, len(stream) // (4 * WINDOW)))
+        length = -(-len(stream) // lanes)
+        return np.append(stream, np.full(lanes * length - len(stream), CLASSES)).reshape(lanes, length).T
+
+    def _pass(self, grid: np.ndarray, adam: Adam, rate: Callable[[int], float]) -> None:
+        """Truncated backpropagation over all windows, state carried from window to window."""
+        h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+        for lo in range(0, len(grid) - 1, WINDOW):
+            h, g = self._window(grid, range(lo, min(lo + WINDOW, len(grid) - 1)), h)
+            adam.step(self.p, g, rate)
 
     def _window(self, grid: np.ndarray, steps: range, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         kept = []
@@ -167,24 +190,42 @@ class Network:
         hs = np.concatenate([k[2] for k in kept])
         target = np.concatenate([grid[s + 1] for s in steps])
         real = target < CLASSES  # what starts a document is not predicted
-        d = np.exp(self.log_softmax(hs))
-        d[np.arange(len(d)), np.where(real, target, 0)] -= 1
-        d *= real[:, None] / max(1, real.sum())
-        g = {"o": hs.T @ d, "c": d.sum(0), "x": np.zeros_like(self.p["x"]), "u": np.zeros_like(self.p["u"]), "b": np.zeros_like(self.p["b"])}
-        back, lanes, later = d @ self.p["o"].T, len(h), np.zeros_like(h)
+        weight = real.astype(np.float32) / np.float32(max(1, real.sum()))
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        lanes, later = len(h), np.zeros_like(h)
+        back, ones = np.empty_like(hs), np.ones(CLASSES, np.float32)
+        for lo in range(0, len(hs), 8 * lanes):  # pieces that stay in the cache
+            part, w, want = hs[lo : lo + 8 * lanes], weight[lo : lo + 8 * lanes], target[lo : lo + 8 * lanes]
+            d = part @ self.p["o"]
+            d += self.p["c"]
+            d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d *= (w / (d @ ones))[:, None]
+            d[np.arange(len(d)), np.where(want < CLASSES, want, 0)] -= w
+            g["o"] += part.T @ d
+            g["c"] += d.sum(0)
+            back[lo : lo + 8 * lanes] = d @ self.p["o"].T
+        to_gates, to_new = np.ascontiguousarray(self.p["u"][:, : 2 * HIDDEN].T), np.ascontiguousarray(self.p["u"][:, 2 * HIDDEN :].T)
+        dx, dm = np.empty((len(kept), lanes, 3 * HIDDEN), np.float32), np.empty((len(kept), lanes, HIDDEN), np.float32)
         for i in range(len(kept) - 1, -1, -1):
             seen, before, _, z, r, m, n = kept[i]
             dh = back[i * lanes : (i + 1) * lanes] + later
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * m * r * (1 - r)
-            dm = dn * r
-            du = np.concatenate([dz, dr, dm], 1)
-            np.add.at(g["x"], seen, np.concatenate([dz, dr, dn], 1))
-            g["u"] += before.T @ du
-            g["b"] += dm.sum(0)
-            later = dh * z + du @ self.p["u"].T
+            hz = dh * z
+            dn = (dh - hz) * (1 - n * n)
+            np.multiply(dn, r, out=dm[i])
+            dx[i, :, 2 * HIDDEN :] = dn
+            dx[i, :, :HIDDEN] = hz * (before - n) * (1 - z)
+            dx[i, :, HIDDEN : 2 * HIDDEN] = dm[i] * m * (1 - r)
+            later = hz + dx[i, :, : 2 * HIDDEN] @ to_gates + dm[i] @ to_new
             later[seen == CLASSES] = 0
+        dx, dm = dx.reshape(-1, 3 * HIDDEN), dm.reshape(-1, HIDDEN)
+        before, seen = np.concatenate([k[1] for k in kept]), np.concatenate([k[0] for k in kept])
+        g["u"] = np.concatenate([before.T @ dx[:, : 2 * HIDDEN], before.T @ dm], 1)
+        g["b"] = dm.sum(0)
+        order = np.argsort(seen.astype(np.uint8), kind="stable")
+        seen = seen[order]
+        starts = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        g["x"][seen[starts]] = np.add.reduceat(dx[order], starts)
         return h, g
 
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
@@ -245,6 +286,7 @@ def train(docs: DataFrame, fit_tokens: int = FIT_TOKENS) -> tuple[Model, DataFra
         share = min(1.0, 1.1 * fit_tokens / total)
         picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) <= int(share * 2**31))
         network.fit(_fit_documents(picked, top, fit_tokens, share))
+        network.p = _fit_all(docs, top, network, total)
     return Model(total, whole["v"] or 0, top, shares, ends_row["n"] if ends_row else 0, network), counts
 
 
@@ -266,6 +308,41 @@ def _fit_documents(picked: DataFrame, top: dict, most: int, share: float) -> lis
     return found
 
 
+def _fit_all(docs: DataFrame, top: dict, network: Network, total: int) -> dict[str, np.ndarray]:
+    """Weights after every task went on from network over all its documents, averaged by tokens. A row a weight, however many tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast((top, network.p))
+    cuts = np.cumsum([v.size for v in network.p.values()])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, start = shared.value
+        net, words = Network(), Words(known)
+        net.p = {k: v.copy() for k, v in start.items()}
+        adam, lot, held, seen = Adam(net.p), [], 0, 0
+        for batch in batches:
+            for text in batch.column(0):
+                k = words(words_of(text.as_py()))
+                lot.append(np.append(words.cls[k], np.uint8(CLASSES - 1)))
+                held += len(lot[-1])
+                if held >= LOT_TOKENS:
+                    net.go_on(lot, adam)
+                    lot, held, seen = [], 0, seen + held
+        if lot:
+            net.go_on(lot, adam)
+            seen += held
+        if seen:
+            flat = np.concatenate([v.reshape(-1) for v in net.p.values()]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.append(1.0, flat) * seen)], ["k", "w"])
+
+    rows = docs.select("text").mapInArrow(run, "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect()
+    sums = np.zeros(cuts[-1] + 1)
+    for r in rows:
+        sums[r["k"] + 1] = r["w"]
+    if round(sums[0]) != total:
+        raise ValueError(f"the network was fitted on {sums[0]:.0f} of {total} tokens")
+    parts = np.split((sums[1:] / total).astype(np.float32), cuts[:-1])
+    return {k: part.reshape(v.shape) for (k, v), part in zip(network.p.items(), parts)}
+
+
 def _send(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     """Rows (to, flush, docs, keys, extra): words to be looked up elsewhere, and each flush's own note."""
     fields = pa.schema([("to", pa.int32()), ("flush", pa.string()), ("docs", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])

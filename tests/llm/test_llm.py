@@ -415,6 +415,19 @@ def test_network():
         assert abs(total / recurrent.LN10 - got) < 1e-3
 
 
+def test_network_is_fitted_on_all_documents(spark):
+    """What only documents outside the first sample show is learned too."""
+    docs = table(spark, [(i, "aa bb cc dd " * 60) for i in range(2000)]).repartition(2)
+    model, _ = recurrent.train(docs, fit_tokens=5000)
+    assert model.n == 2000 * 241
+    words = recurrent.Words(model.top)
+    k = words(b"aa bb cc dd ".split() * 60)
+    d = np.append(words.cls[k], np.uint8(recurrent.CLASSES - 1))
+    first = recurrent.Network()
+    first.fit([d] * 21)
+    assert model.network.score([d])[0] > 0.9 * first.score([d])[0]
+
+
 # -- pipeline ------------------------------------------------------------------------------------
 
 
