@@ -10,8 +10,9 @@ crc32(doc_id) mod 5 is not 0, at most ``FIT_DOCS`` of them (the smallest by hash
 
 Only text is an input of a score. Chunks are decoded once and remembered up to a bound.
 
-Defined cases: null, empty or white text scores the intercept; chunks over ``LONGEST``
-characters are kept as they are (no word is that long); a null doc_id is not held out; null
+Defined cases: null, empty or white text scores the intercept; chunks and runs of single letters
+of every length are decoded whole, chunks over ``LONGEST`` characters also piece by piece between
+their separators, as no word is that long; a null doc_id is not held out; null
 labels are left out; repeated rows are scored each; without labels of both kinds every score is
 the share of toxic labels, or 0.5 without any; an empty table gives no rows.
 """
@@ -36,6 +37,7 @@ EDGES = ".,;:!?#%*&$|()[]{}<>\"'`~-_=+/\\"
 SYMBOLS = 37
 SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 RUN = re.compile(r"(.)\1\1")
+SEPARATORS = re.compile(f"[{re.escape(''.join(sorted(DROPPED)))}|?&+<>()\\[\\]{{}}\"]+")
 
 
 def _symbol_table() -> np.ndarray:
@@ -121,9 +123,9 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 def decode(chunk: str, model: CharModel) -> str:
     """The likeliest restored text of a chunk (Viterbi over pairs of symbols)."""
     log = model.log
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # a text is what was emitted last and the text before: linear in length
     for options in [*lattice(chunk), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, text) in best.items():
             for emitted, cost in options:
                 s, x, y = score + cost, a, b
@@ -132,9 +134,18 @@ def decode(chunk: str, model: CharModel) -> str:
                     s += log[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, text + emitted)
+                    new[x, y] = (s, (text, emitted))
         best = new
-    return max(best.values())[1].strip()
+    top = max(score for score, _ in best.values())
+    return max(_joined(text) for score, text in best.values() if score == top).strip()
+
+
+def _joined(text: tuple) -> str:
+    out = []
+    while text:
+        text, emitted = text
+        out.append(emitted)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -148,7 +159,9 @@ class Restorer:
         if found is None:
             if len(self.known) > self.bound:
                 self.known.clear()
-            found = self.known[chunk] = self._words(chunk)
+            found = self._words(chunk)
+            if len(chunk) <= 8 * LONGEST:  # longer ones hardly come again
+                self.known[chunk] = found
         return found
 
     def _words(self, chunk: str) -> tuple[str, ...]:
@@ -157,10 +170,13 @@ class Restorer:
             return (bare,)
         kinds = [m[1] for m in re.finditer(r"(.)\1*", bare, re.S)]
         spelt = sum(c.isalpha() or c in STANDS_FOR for c in kinds)
-        if len(chunk) > LONGEST or not any(c.isalpha() for c in kinds) or spelt * 2 < len(kinds):
+        if not any(c.isalpha() for c in kinds) or spelt * 2 < len(kinds):
             return (bare,) if bare else ()
         hidden = (chunk if chunk[0] in "$@!(+|" and (len(chunk) < 2 or chunk[1].isalpha()) else bare).rstrip(EDGES.replace("!", "").replace("$", "") if bare != chunk.rstrip(EDGES) else EDGES)
         read = [w.strip(EDGES) for w in decode(hidden or bare, self.model).split()]
+        pieces = SEPARATORS.split(bare) if len(chunk) > LONGEST else []
+        if len(pieces) > 1:
+            read += [w for piece in pieces if len(piece) > 2 for w in self.words(piece)]
         joined = "".join(c for c in bare if c not in DROPPED)
         return tuple(dict.fromkeys(w for w in (*read, joined) if w))
 
@@ -171,9 +187,8 @@ class Restorer:
         for chunk in set(low.split()):
             out.update(self.words(chunk))
         for m in SINGLES.finditer(low):
-            if len(m[0]) <= 2 * LONGEST:
-                spelt = "".join(m[0].split())
-                out.update(w for w in (*decode(m[0].replace("\t", " "), self.model).split(), spelt, spelt[1:], spelt[:-1]) if len(w) > 2)
+            spelt = "".join(m[0].split())
+            out.update(w for w in (*decode(m[0].replace("\t", " "), self.model).split(), spelt, spelt[1:], spelt[:-1]) if len(w) > 2)
         return out
 
 

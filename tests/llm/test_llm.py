@@ -309,6 +309,21 @@ def test_toxicity(spark):
     assert toxicity.score(table(spark, []), lab).isEmpty()
 
 
+def test_toxicity_of_long_chunks():
+    """Chunks and runs of single letters keep their words at any length."""
+    words = "you are a pathetic worthless idiot and the quick brown fox jumps over lazy dogs while people walk around town every morning".split()
+    r = random.Random(5)
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    s = np.concatenate([[0, 0], toxicity.symbols(" ".join(r.choice(words) for _ in range(20_000))), [0]])
+    np.add.at(counts, (s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], 1)
+    restore = toxicity.Restorer(toxicity.CharModel(counts))
+    assert "idiot" in restore.text("i" * 30 + "diot")
+    assert {"pathetic", "worthless", "idiot"} <= restore.text("you,pathetic,worthless,idiot")
+    assert {"worthless", "idiot"} <= restore.text("the/quick/brown/w0rthless/1d1ot/fox")
+    assert {"pathetic", "worthless", "idiot"} <= restore.text("y o u a r e a p a t h e t i c w o r t h l e s s i d i o t")
+    assert "idiot" in restore.text("x9-" * 20_000 + "idiot")
+
+
 # -- exact dedup ---------------------------------------------------------------------------------
 
 
