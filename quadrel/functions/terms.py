@@ -121,11 +121,14 @@ def abbreviate(df: DataFrame, column: str, prefixes: DataFrame, out: str) -> Dat
     """
     known = [(r["prefix"], r["namespace"]) for r in prefixes.orderBy(F.desc(F.length("namespace")), "prefix").limit(1001).collect()]
     if len(known) > 1000:
-        ns = F.regexp_extract(F.col(column), "^(.*[/#])", 1)
         p = prefixes.select(F.col("namespace").alias("__ns"), "prefix").groupBy("__ns").agg(F.min("prefix").alias("__prefix"))
-        j = df.withColumn("__key", ns).join(p, F.col("__key") == F.col("__ns"), "left")
-        curie = F.concat("__prefix", F.lit(":"), F.substring(column, F.length("__key") + 1, F.length(column)))
-        return j.withColumn(out, F.coalesce(curie, F.col(column))).drop("__key", "__ns", "__prefix")
+        sizes = p.select(F.length("__ns").alias("__n")).filter("__n is not null").distinct()
+        # every beginning of an IRI that is as long as some namespace; the longest that is one wins
+        begun = df.select(F.col(column).alias("__iri")).distinct().join(F.broadcast(sizes), F.col("__n") <= F.length("__iri")).withColumn("__ns", F.expr("substring(__iri, 1, __n)"))
+        best = begun.join(p, "__ns").groupBy("__iri").agg(F.max_by("__prefix", "__n").alias("__prefix"), F.max("__n").alias("__n"))
+        j = df.join(best, df[column] == best["__iri"], "left")
+        curie = F.concat("__prefix", F.lit(":"), F.substring(column, F.col("__n") + 1, F.length(column)))
+        return j.withColumn(out, F.coalesce(curie, F.col(column))).drop("__iri", "__n", "__prefix")
     c, result = F.col(column), F.col(column)
     for prefix, namespace in reversed(known):
         result = F.when(c.startswith(namespace), F.concat(F.lit(f"{prefix}:"), F.substring(c, F.lit(len(namespace) + 1), F.length(c)))).otherwise(result)

@@ -42,6 +42,14 @@ def test_terms(spark):
         assert one(spark, f(lit(given_))) == want, (f.__name__, given_)
 
 
+def test_abbreviate_beyond_a_thousand_prefixes(spark):
+    few = [("a", "http://a/"), ("ab", "http://a/b"), ("ab2", "http://a/b"), ("u", "urn:x:")]
+    many = few + [(f"p{i}", f"http://other/{i}/") for i in range(1_000)]
+    iris = spark.createDataFrame([("http://a/c/d",), ("http://a/b/c",), ("urn:x:y",), ("http://z/",), ("http://a/",), (None,), ("urn:x:y",)], "iri string")
+    got = [sorted(map(str, tm.abbreviate(iris, "iri", spark.createDataFrame(p, "prefix string, namespace string"), "curie").collect())) for p in (few, many)]
+    assert got[0] == got[1] and "Row(iri='http://a/c/d', curie='a:c/d')" in got[1]
+
+
 def test_parsers_agree(spark):
     t = PREFIX + ':a a owl:Class ; rdfs:subClassOf [ a owl:Restriction ; owl:onProperty :p ; owl:someValuesFrom :b ] ; rdfs:label "x \\"y\\""@en, """l\n2""" ; :n 3, 2.5, true ; :l (1 :b) .'
     x = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns="http://x/"><owl:Class rdf:about="http://x/a"><p rdf:resource="http://x/b"/><q rdf:parseType="Resource"><r xml:lang="de">v</r></q></owl:Class></rdf:RDF>'
