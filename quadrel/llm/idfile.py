@@ -1,21 +1,25 @@
 """Binary token-id files: an adaptive context-mixing range coder over ids (operator 10).
 
-A segment is one self-describing byte string: header (documents, lengths, order-0 table), a
-table of blocks with byte length and crc32 each, and the blocks' code. Each block holds
-``BLOCK`` ids and is coded from reset state. Per id two decisions are coded by a carry-less
-range coder: first whether the id is the one that order 2 predicts (last id seen after
-the same two ids), else the one that order 1 predicts, else neither; the three probabilities
-mix two adaptive models (confidence of both predictions; outcomes of the last two ids) by
-weights that follow how well each has predicted. Ids that neither predicts are coded by the
-segment's order-0 frequencies. All blocks of a segment advance together, one id a step, as
-numpy lanes; a lane never reads another lane's state. A reader checks magic, header crc and
-every block's crc, which covers its ids and its code.
+A segment is one self-describing byte string: header (documents, lengths), a table of blocks with
+byte length and crc32 each, and the blocks' code. Each block holds ``BLOCK`` ids and is coded from
+reset state, by nothing but its own ids, so ``read_block`` reads one alone. Three orders predict
+the next id: order 2 the id last seen after the same two ids, order 1 the one last seen after the
+same id, both with a confidence, and order 0 a distribution, the ids' counts in the block so far (as
+of the last power of two of ids). What remains is a fixed prior that falls with the id. The shares of
+order 2, 1, 0 and the prior mix two adaptive models (confidence of the predictions; outcomes of the
+last two ids) by a weight that follows how well each has predicted. A carry-less range coder codes
+which of the four it is, and for the last two the id.
+
+All blocks of a segment advance together, one id a step, as numpy lanes; a lane never reads
+another lane's state. A reader checks magic, header crc and every block's crc, which covers its
+ids and its code.
 
 Files are written in ascending doc_id order: range-partitioned, sorted, segments cut at
 document boundaries. Bytes go through Spark's writers, so any store Spark reaches will do.
 
 Defined cases: null text: only the end id; null doc_ids come first; equal doc_ids: ordered by
-text; a document longer than a segment makes its segment longer; empty table: no file rows.
+text; a document longer than a segment makes its segment longer; other columns are ignored; empty
+table: no file rows; a vocabulary of more than 65,536 ids is refused.
 """
 
 from __future__ import annotations
@@ -30,84 +34,98 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialise
-from .tokens import Pieces, default_path
+from .tokens import default_path, pieces_of
 
-MAGIC, BLOCK, END = b"QIDS0001", 2048, 1
+MAGIC, BLOCK, END = b"QIDS0002", 2048, 1
 #: Ids of a segment, about; more blocks side by side cost less time an id.
-SEGMENT = 6_000_000
-SLOT_BITS, TOTAL = 11, 1 << 16
+SEGMENT = 4_000_000
+SLOT_BITS, TOTAL_BITS, PRIOR_BITS = 10, 16, 20
 NO_DOC = -(2**63)
-_16, _32, _WORD, _LAST, _FULL = (np.uint64(x) for x in (16, 32, 1 << 32, (1 << 32) - 1, (1 << 64) - 1))
+_32, _WORD, _LAST, _FULL = (np.uint64(x) for x in (32, 1 << 32, (1 << 32) - 1, (1 << 64) - 1))
+#: Order 0 takes the counts of the block's ids anew after so many of them.
+FIRST_COUNTS = 16
+
+
+def _prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cumulative and own frequency of each id, and the id of each value: falling with the id, as merges are numbered by use."""
+    shape = 1.0 / (np.arange(1 << 16) + 300.0)
+    freq = 2 + np.floor(shape / shape.sum() * ((1 << PRIOR_BITS) - (3 << 16))).astype(np.int64)
+    freq[0] += (1 << PRIOR_BITS) - freq.sum()
+    return (np.cumsum(freq) - freq).astype(np.int64), freq, np.repeat(np.arange(1 << 16, dtype=np.uint16), freq)
+
+
+PRIOR_LOW, PRIOR_FREQ, PRIOR_ID = _prior()
+#: What outcome each share should have been.
+_HIT = np.eye(4, dtype=np.float32)
+#: Confidence after a prediction (2 * confidence so far + whether it held), in the bits above the id.
+_SURE = np.array([1, 1, 0, 2, 1, 3, 1, 3], np.int32) << 16
 
 
 class _Model:
-    """State of all lanes: predictions of orders 1 and 2, and the mixed probabilities of the outcomes.
+    """State of all lanes: predictions of orders 1 and 2, and the mixed shares of orders 2, 1 and 0.
 
     A prediction entry is an id and, above 16 bits, how often it has held (0 to 3).
     """
 
     def __init__(self, lanes: int):
-        n = 1 << SLOT_BITS
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.at = self.lane * n
+        self.lanes, n = lanes, 1 << SLOT_BITS
+        lane = np.arange(lanes, dtype=np.int64)
+        self.at = lane * n
         self.one_of, self.two_of = np.zeros(lanes * n, np.int32), np.zeros(lanes * n, np.int32)
-        self.a = np.full((32 * lanes, 2), 0.25, np.float32)
-        self.b = np.full((9 * lanes, 2), 0.25, np.float32)
-        self.base_a, self.base_b = self.lane * 32, self.lane * 9
-        self.weight = np.full((lanes, 1), 0.5, np.float32)
-        self.h1 = np.zeros(lanes, np.int64)
-        self.h2 = np.zeros(lanes, np.int64)
+        # rows of four shares: orders 2, 1 and 0, and the prior
+        self.a, self.b = np.full((32 * lanes, 4), 0.25, np.float32), np.full((16 * lanes, 4), 0.25, np.float32)
+        self.base_a, self.base_b, self.base = lane * 32, lane * 16, lane * 5
+        self.weight = np.full((lanes, 4), 0.5, np.float32)  # four times the same
+        self.h1, self.h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.past = np.zeros(lanes, np.int64)
+        self.bound = np.zeros((lanes, 5), np.int64)
+        self.bound[:, 4] = 1 << TOTAL_BITS
+        self.flat = self.bound.reshape(-1)
 
     def predict(self) -> None:
         mask = (1 << SLOT_BITS) - 1
-        self.s1 = self.at + ((self.h1 >> 4) & mask)
-        self.s2 = self.at + (((self.h1 * 5 + self.h2) >> 4) & mask)
+        self.s1 = ((self.h1 >> 4) & mask) + self.at
+        self.s2 = ((self.h1 * 5 + self.h2 >> 4) & mask) + self.at
         e1, e2 = self.one_of.take(self.s1), self.two_of.take(self.s2)
         self.p1, self.p2, self.c1, self.c2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
         self.ka = self.base_a + ((self.c2 << 2) + self.c1 + ((self.p1 == self.p2) << 4))
         self.kb = self.base_b + self.past
         self.qa, self.qb = self.a.take(self.ka, 0), self.b.take(self.kb, 0)
         self.gap = self.qa - self.qb
-        f = ((self.qb + self.gap * self.weight) * np.float32(TOTAL - 8)).astype(np.int32) + 1
-        self.f0, self.f01 = f[:, 0], f[:, 0] + f[:, 1]
-
-    def outcome(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.p2, 0, (ids != self.p1) + 1)
+        self.mixed = self.gap * self.weight
+        self.mixed += self.qb
+        f = (self.mixed * np.float32((1 << TOTAL_BITS) - 16)).astype(np.int64)
+        f += 1
+        bound = self.bound  # of the outcomes; the last takes what is left
+        bound[:, 1] = f[:, 0]
+        np.add(bound[:, 1], f[:, 1], out=bound[:, 2])
+        np.add(bound[:, 2], f[:, 2], out=bound[:, 3])
 
     def span(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cumulative and own frequency of each lane's outcome."""
-        low = np.where(out == 0, 0, np.where(out == 1, self.f0, self.f01))
-        return low, np.where(out == 0, self.f0, np.where(out == 1, self.f01, TOTAL)) - low
+        at = self.base + out
+        low = self.flat.take(at)
+        return low, self.flat.take(at + 1) - low
 
     def update(self, ids: np.ndarray, out: np.ndarray) -> None:
-        hit = np.empty((len(ids), 2), np.float32)
-        hit[:, 0], hit[:, 1] = out == 0, out == 1
-        lean = (self.gap * (hit - np.float32(0.33))).sum(1, keepdims=True)
-        self.weight = (self.weight + lean * np.float32(0.05)).clip(0.02, 0.98)
-        self.a[self.ka] = self.qa + (hit - self.qa) * np.float32(0.03)
-        self.b[self.kb] = self.qb + (hit - self.qb) * np.float32(0.02)
+        hit = _HIT.take(out, 0)
+        lean = hit - self.mixed
+        lean *= self.gap
+        total = lean[:, 0] + lean[:, 1]
+        total += lean[:, 2]
+        total += lean[:, 3]
+        total *= np.float32(0.05)
+        self.weight += np.repeat(total, 4).reshape(-1, 4)
+        np.clip(self.weight, 0.02, 0.98, out=self.weight)
+        for table, at, q, rate in ((self.a, self.ka, self.qa, np.float32(0.03)), (self.b, self.kb, self.qb, np.float32(0.02))):
+            step = hit - q
+            step *= rate
+            step += q
+            table.view(np.complex128)[at, 0] = step.view(np.complex128)[:, 0]  # a row at once
         for table, slot, p, c in ((self.one_of, self.s1, self.p1, self.c1), (self.two_of, self.s2, self.p2, self.c2)):
-            held = p == ids
-            keep = held | (c > 1)
-            sure = np.where(held, np.minimum(c + 1, 3), np.where(keep, c >> 1, 1))
-            table[slot] = np.where(keep, p, ids) | (sure << 16)
+            table[slot] = np.where(c > 1, p, ids) | _SURE.take((c << 1) + (p == ids))
         self.h2, self.h1 = self.h1, (ids.astype(np.int64) + 1) * 40503
-        self.past = _NEXT.take(self.past * 3 + out)
-
-
-#: The last two outcomes (0 to 8) after another one.
-_NEXT = np.array([(x // 3 % 3) * 3 + x % 3 for x in range(27)], np.int64)
-
-
-def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their frequencies, each at least 1, in all TOTAL."""
-    kinds, n = np.unique(ids, return_counts=True)
-    if not len(kinds):
-        return kinds.astype(np.uint16), n.astype(np.uint32)
-    freq = np.maximum(1, n * (TOTAL - len(kinds)) // max(1, n.sum()))
-    freq[np.argmax(freq)] += TOTAL - freq.sum()
-    return kinds.astype(np.uint16), freq.astype(np.uint32)
+        self.past = ((self.past << 2) & 15) + out
 
 
 class _Writer:
@@ -117,10 +135,10 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
         self.out, self.n, self.room = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room, room
 
-    def put(self, cum, freq, lanes) -> None:
+    def put(self, cum, freq, bits, lanes) -> None:
         low, size = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        step = size >> _16
-        low, size = low + step * cum.astype(np.uint64), step * freq.astype(np.uint64)
+        step = size >> bits
+        low, size = low + step * cum.view(np.uint64), step * freq.view(np.uint64)
         due = np.flatnonzero(size < _WORD)
         if len(due):
             x = low[due]
@@ -153,15 +171,15 @@ class _Reader:
         self.low, self.range = np.zeros(len(begin), np.uint64), np.full(len(begin), _FULL)
         self.code = (self.data[self.n - 2] << _32) | self.data[self.n - 1]
 
-    def value(self, lanes):
+    def value(self, bits, lanes):
         self.now = (self.low, self.range, self.code) if lanes is None else (self.low[lanes], self.range[lanes], self.code[lanes])
         low, size, code = self.now
-        self.step = size >> _16
-        return np.minimum((code - low) // self.step, np.uint64(TOTAL - 1)).astype(np.int32)
+        self.step = size >> bits
+        return np.minimum((code - low) // self.step, (np.uint64(1) << bits) - np.uint64(1)).view(np.int64)
 
     def take(self, cum, freq, lanes) -> None:
         low, _, code = self.now
-        low, size = low + self.step * cum.astype(np.uint64), self.step * freq.astype(np.uint64)
+        low, size = low + self.step * cum.view(np.uint64), self.step * freq.view(np.uint64)
         due = np.flatnonzero(size < _WORD)
         if len(due):
             x = low[due]
@@ -179,81 +197,147 @@ class _Reader:
             self.low[lanes], self.range[lanes], self.code[lanes] = low, size, code
 
 
+_T, _P = np.uint64(TOTAL_BITS), np.uint64(PRIOR_BITS)
+
+
+def _counting(step: int) -> bool:
+    """Whether order 0 takes its counts anew before this step: at powers of two."""
+    return step >= FIRST_COUNTS and step & (step - 1) == 0
+
+
+def _encode_lanes(grid: np.ndarray) -> list[bytes]:
+    """Code of each row of ids (uint16)."""
+    lanes, block = grid.shape
+    order = np.argsort(grid, axis=1, kind="stable")
+    ordered = np.take_along_axis(grid, order, 1)
+    dense = np.zeros(grid.shape, np.int32)
+    np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1, out=dense[:, 1:])
+    rank = np.empty_like(dense)
+    np.put_along_axis(rank, order, dense, 1)
+    rank += np.arange(lanes, dtype=np.int32)[:, None] * block  # place of an id's count in its lane
+    steps, ranks = np.ascontiguousarray(grid.T).astype(np.int32), np.ascontiguousarray(rank.T).astype(np.int64)
+    del order, ordered, dense
+    count, first, shift = np.zeros(lanes * block, np.int64), np.zeros(lanes * block, np.int64), 0
+    model, writer = _Model(lanes), _Writer(lanes, block * 3 + 8)
+    for k, now in enumerate(steps):
+        if _counting(k):
+            count = np.bincount(ranks[:k].reshape(-1), minlength=lanes * block)
+            shift = TOTAL_BITS - k.bit_length() + 1
+            first = np.cumsum(count)
+            first -= count
+            first -= np.repeat(np.arange(lanes) * k, block)
+        model.predict()
+        held = count.take(ranks[k])
+        out = np.where(now == model.p2, 0, np.where(now == model.p1, 1, np.where(held > 0, 2, 3)))
+        writer.put(*model.span(out), _T, None)
+        rest = np.flatnonzero(out > 1)
+        new, mine, ids = out[rest] == 3, ranks[k][rest], now[rest]
+        writer.put(np.where(new, PRIOR_LOW.take(ids), first.take(mine) << shift), np.where(new, PRIOR_FREQ.take(ids), held[rest] << shift), np.where(new, _P, _T), rest)
+        model.update(now, out)
+    return writer.close()
+
+
+def _decode_lanes(code: bytes, begin: np.ndarray, block: int) -> np.ndarray:
+    """Rows of ids of the codes that begin there."""
+    lanes = len(begin)
+    model, reader = _Model(lanes), _Reader(code, begin)
+    steps = np.empty((block, lanes), np.uint16)
+    ordered, first, count, size, shift = np.zeros(1, np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64), 0, 0
+    for k in range(block):
+        if _counting(k):
+            size, shift = k, TOTAL_BITS - k.bit_length() + 1
+            ordered = np.sort(steps[:k].T, axis=1, kind="stable").reshape(-1)
+            starts = np.ones(lanes * k, bool)
+            starts[1:] = ordered[1:] != ordered[:-1]
+            starts[::k] = True
+            at = np.flatnonzero(starts)
+            length = np.diff(np.append(at, lanes * k))
+            first, count = np.repeat(at % k, length), np.repeat(length, length)
+        model.predict()
+        v = reader.value(_T, None)
+        out = (v >= model.bound[:, 1]).astype(np.int64)
+        out += v >= model.bound[:, 2]
+        out += v >= model.bound[:, 3]
+        reader.take(*model.span(out), None)
+        now = np.where(out == 0, model.p2, model.p1)
+        rest = np.flatnonzero(out > 1)
+        new = out[rest] == 3
+        v = reader.value(np.where(new, _P, _T), rest)
+        at = np.where(new, 0, np.minimum(rest * size + (v >> shift), len(ordered) - 1))  # bad code may ask for what isn't there
+        ids = np.where(new, PRIOR_ID.take(np.where(new, v, 0)), ordered.take(at)).astype(np.int32)
+        reader.take(np.where(new, PRIOR_LOW.take(ids), first.take(at) << shift), np.where(new, PRIOR_FREQ.take(ids), count.take(at) << shift), rest)
+        now[rest] = ids
+        model.update(now, out)
+        steps[k] = now
+    return np.ascontiguousarray(steps.T)
+
+
 def encode(docs: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One segment: the documents' ids, ids of each document in sequence."""
     total = len(ids)
     block = min(block, max(64, total // 64))
-    lanes = max(1, -(-total // block))
-    kinds, freq = _order0(ids)
+    lanes = -(-total // block)
     padded = np.zeros(lanes * block, np.uint16)
     padded[:total] = ids
-    if total:
-        padded[total:] = kinds[0]
-    steps = np.ascontiguousarray(padded.reshape(lanes, block).T).astype(np.int32)
-    cum = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
-    all_cum, all_freq = np.zeros(TOTAL, np.uint32), np.zeros(TOTAL, np.uint32)
-    all_cum[kinds], all_freq[kinds] = cum, freq
-    model, writer = _Model(lanes), _Writer(lanes, block * 3 + 8)
-    for now in steps if total else []:
-        model.predict()
-        out = model.outcome(now)
-        writer.put(*model.span(out), None)
-        rest = np.flatnonzero(out == 2)
-        writer.put(all_cum[now[rest]], all_freq[now[rest]], rest)
-        model.update(now, out)
-    codes = writer.close()
+    codes = _encode_lanes(padded.reshape(lanes, block)) if total else []
     wide = ids.astype("<u4")
     crcs = [zlib.crc32(codes[i], zlib.crc32(wide[i * block : (i + 1) * block])) for i in range(lanes)]
-    parts = [np.array([NO_DOC if d is None else d for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array(lengths, "<i8"), kinds.astype("<u2"), freq.astype("<u4"), np.array([len(c) for c in codes], "<u4"), np.array(crcs, "<u4")]
+    parts = [np.array([NO_DOC if d is None else d for d in docs], "<i8"), np.array([d is None for d in docs], "u1"), np.array(lengths, "<i8"), np.array([len(c) for c in codes], "<u4"), np.array(crcs, "<u4")]
     packed = [zlib.compress(p.tobytes(), 1) for p in parts]
-    head = struct.pack("<QIII7I", total, len(docs), block, lanes, *map(len, packed)) + b"".join(packed)
+    head = struct.pack(_FIXED, total, len(docs), block, lanes, *map(len, packed)) + b"".join(packed)
     return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + b"".join(codes)
 
 
+_FIXED = "<QIII5I"
+
+
+class Segment:
+    """An opened segment: ``names`` and ``lengths`` of its documents, and its blocks; ValueError if any byte that matters has changed."""
+
+    def __init__(self, data: bytes):
+        if data[:8] != MAGIC:
+            raise ValueError("not an id file")
+        size, crc = struct.unpack_from("<II", data, 8)
+        head = data[16 : 16 + size]
+        if zlib.crc32(head) != crc:
+            raise ValueError("header checksum")
+        self.total, _, self.block, self.blocks, *sizes = struct.unpack_from(_FIXED, head)
+        parts, at = [], struct.calcsize(_FIXED)
+        for n, kind in zip(sizes, ("<i8", "u1", "<i8", "<u4", "<u4")):
+            parts.append(np.frombuffer(zlib.decompress(head[at : at + n]), kind))
+            at += n
+        docs, none, self.lengths, self.sizes, self.crcs = parts
+        self.names = [None if x else int(d) for d, x in zip(docs, none)]
+        self.code = data[16 + size :]
+        if len(self.code) != int(self.sizes.sum()):
+            raise ValueError("length")
+        self.begin = np.cumsum(self.sizes.astype(np.int64)) - self.sizes
+
+    def read(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Ids (uint32) of blocks first to last (exclusive), read without the others."""
+        last = self.blocks if last is None else last
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        lo, hi = int(self.begin[first]), int(self.begin[last - 1] + self.sizes[last - 1])
+        code = self.code[lo:hi]
+        ids = _decode_lanes(code, self.begin[first:last] - lo, self.block).reshape(-1)
+        ids = ids[: self.total - first * self.block].astype("<u4")
+        for i in range(first, last):
+            at = int(self.begin[i]) - lo
+            if zlib.crc32(code[at : at + int(self.sizes[i])], zlib.crc32(ids[(i - first) * self.block : (i - first + 1) * self.block])) != self.crcs[i]:
+                raise ValueError(f"checksum of block {i}")
+        return ids
+
+
+def read_block(segment: bytes, block: int) -> np.ndarray:
+    """Ids of one block of a segment."""
+    return Segment(segment).read(block, block + 1)
+
+
 def decode(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(documents, lengths, ids) of a segment; ValueError if any byte that matters has changed."""
-    if segment[:8] != MAGIC:
-        raise ValueError("not an id file")
-    size, crc = struct.unpack_from("<II", segment, 8)
-    head = segment[16 : 16 + size]
-    if zlib.crc32(head) != crc:
-        raise ValueError("header checksum")
-    fixed = struct.calcsize("<QIII7I")
-    total, _, block, lanes, *sizes = struct.unpack_from("<QIII7I", head)
-    parts, at = [], fixed
-    for n, kind in zip(sizes, ("<i8", "u1", "<i8", "<u2", "<u4", "<u4", "<u4")):
-        parts.append(np.frombuffer(zlib.decompress(head[at : at + n]), kind))
-        at += n
-    docs, none, lengths, kinds, freq, bytes_, crcs = parts
-    names = [None if x else int(d) for d, x in zip(docs, none)]
-    if not total:
-        return names, lengths, np.zeros(0, np.uint32)
-    code = segment[16 + size :]
-    if len(code) != int(bytes_.sum()):
-        raise ValueError("length")
-    begin = np.concatenate([[0], np.cumsum(bytes_.astype(np.int64))[:-1]])
-    cum = np.concatenate([[0], np.cumsum(freq.astype(np.int64))[:-1]])
-    all_cum, all_freq = np.zeros(TOTAL, np.uint32), np.zeros(TOTAL, np.uint32)
-    all_cum[kinds], all_freq[kinds] = cum, freq
-    by_value = np.repeat(kinds, freq)
-    model, reader = _Model(lanes), _Reader(code, begin)
-    steps = np.empty((block, lanes), np.uint16)
-    for k in range(block):
-        model.predict()
-        v = reader.value(None)
-        out = (v >= model.f0).astype(np.int64) + (v >= model.f01)
-        reader.take(*model.span(out), None)
-        now = np.where(out == 0, model.p2, model.p1)
-        rest = np.flatnonzero(out == 2)
-        now[rest] = by_value[reader.value(rest)]
-        reader.take(all_cum[now[rest]], all_freq[now[rest]], rest)
-        model.update(now, out)
-        steps[k] = now
-    ids = np.ascontiguousarray(steps.T).reshape(-1)[:total].astype("<u4")
-    for i, (crc, at, size) in enumerate(zip(crcs, begin.tolist(), bytes_.tolist())):
-        if zlib.crc32(code[at : at + size], zlib.crc32(ids[i * block : (i + 1) * block])) != crc:
-            raise ValueError(f"checksum of block {i}")
-    return names, lengths, ids
+    s = Segment(segment)
+    return s.names, s.lengths, s.read()
 
 
 def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END, segment: int = SEGMENT) -> DataFrame:
@@ -262,28 +346,37 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END, se
     fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part, seq = Pieces(vocabulary), TaskContext.get().partitionId(), 0
+        pieces, part, seq = pieces_of(vocabulary), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
+        lengths: list[int] = []
         found: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
-            lengths = [len(x) for x in found]
             row = (part, seq, len(names), held, encode(names, lengths, np.concatenate(found)))
-            names.clear(), found.clear()
+            names.clear(), lengths.clear(), found.clear()
             seq, held = seq + 1, 0
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields)], schema=fields)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 500):
-                for doc, x in zip(ids[lo : lo + 500], pieces(texts.slice(lo, 500).to_pylist())):
-                    names.append(doc)
-                    found.append(np.append(x, np.uint16(end)))
-                    held += len(found[-1])
-                    if held >= segment:
-                        yield flush()
+            docs = batch.column(0).to_pylist()
+            ids, ends = pieces.column(batch.column(1))
+            if len(ids) and ids.max() >= 1 << 16:
+                raise ValueError("ids beyond 65,535")
+            ids = np.insert(ids.astype(np.uint16), ends, end)
+            ends = ends + np.arange(1, len(ends) + 1)
+            lo = 0
+            while lo < len(docs):  # as many documents as fill the segment
+                base = int(ends[lo - 1]) if lo else 0
+                hi = min(len(docs), int(np.searchsorted(ends, base + segment - held)) + 1)
+                names += docs[lo:hi]
+                lengths += np.diff(ends[lo:hi], prepend=base).tolist()
+                found.append(ids[base : ends[hi - 1]])
+                held += int(ends[hi - 1]) - base
+                if held >= segment:
+                    yield flush()
+                lo = hi
         if names:
             yield flush()
 

@@ -8,13 +8,16 @@ become ranges of ranks within a length, and pieces find their place by (length,
 are local row numbers plus broadcast offsets of (length, salt) counts: one length may hold all
 rows and is still numbered by many tasks.
 
-Defined cases: a null text has only the end id; repeated rows are packed each; null doc_id is
-an id like any other; an empty table gives no sequence.
+Defined cases: a null or empty text has only the end id; a very long text is cut into many pieces;
+repeated rows are packed each, ties in any order; null doc_id is an id like any other; other
+columns of pieces stay, whatever their names (but those that begin with ``_q_``), and of documents
+are ignored; an empty table gives no sequence.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -23,30 +26,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialise
-from .tokens import Pieces, default_path
+from .tokens import default_path, pieces_of
 
 ROOM, END = 4096, 2
 #: Rows that one task numbers, about.
 RANKED = 200_000
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM, end: int = END) -> DataFrame:
-    """doc_id, start, length, ids (little-endian uint32), doc_tokens: the pieces of every document."""
+def cut_pieces(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM, end: int = END, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids_crc32 and, if wanted, ids (little-endian uint32) of the pieces of every document."""
     vocabulary = vocabulary or default_path()
-    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+    fields = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = pieces_of(vocabulary)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 200):
-                rows: list[tuple] = []
-                for doc, found in zip(ids[lo : lo + 200], pieces(texts.slice(lo, 200).to_pylist())):
-                    whole = np.append(found.astype("<u4"), np.array([end], "<u4"))
-                    rows += [(doc, s, min(room, len(whole) - s), whole[s : s + room].tobytes(), len(whole)) for s in range(0, len(whole), room)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), fields)], schema=fields)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint")
+            ids, ends = pieces.column(batch.column(1))
+            ids = np.insert(ids.astype("<u4"), ends, end)
+            ends = ends + np.arange(1, len(ends) + 1)
+            size = np.diff(ends, prepend=0)
+            number = -(-size // room)
+            doc = np.repeat(np.arange(len(size)), number)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)) * room
+            length = np.minimum(room, size[doc] - start)
+            for lo in range(0, len(doc), 2_000):
+                part = slice(lo, lo + 2_000)
+                own = [ids[b : b + n] for b, n in zip((ends[doc[part]] - size[doc[part]] + start[part]).tolist(), length[part].tolist())]
+                columns = [batch.column(0).take(pa.array(doc[part])), start[part], length[part], size[doc[part]], [zlib.crc32(x) for x in own], *([[x.tobytes() for x in own]] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields)], schema=fields)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def patterns(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -99,21 +108,21 @@ def slots(packs: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int
 
 
 def ranked(pieces: DataFrame, by: list[Column | str]) -> DataFrame:
-    """pieces with ``rank`` from 0 within their length, without one task for one length."""
+    """pieces with ``_q_rank`` from 0 within their length, without one task for one length."""
     total = pieces.count()
     salts = int(min(4096, max(8, total // RANKED)))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    upto = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "salt", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("base"))
-    local = salted.withColumn("local", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*by)) - 1)
-    return local.join(offsets, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("local")).drop("salt", "local", "base")
+    salted = pieces.withColumn("_q_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", "_q_salt").agg(F.count(F.lit(1)).alias("_q_n"))
+    upto = Window.partitionBy("length").orderBy("_q_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", "_q_salt", F.coalesce(F.sum("_q_n").over(upto), F.lit(0)).alias("_q_base"))
+    local = salted.withColumn("_q_local", F.row_number().over(Window.partitionBy("length", "_q_salt").orderBy(*by)) - 1)
+    return local.join(offsets, ["length", "_q_salt"]).withColumn("_q_rank", F.col("_q_base") + F.col("_q_local")).drop("_q_salt", "_q_local", "_q_base")
 
 
 def pack(pieces: DataFrame, room: int = ROOM, by: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """pieces (with ``length`` from 1 to room) with sequence_id and offset."""
-    pieces = materialise(pieces.drop("sequence_id", "offset", "rank"), "pieces")
-    histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # at most room rows
+    """pieces (with ``length`` from 1 to room) with sequence_id and offset; all their other columns stay."""
+    pieces = materialise(pieces.drop("sequence_id", "offset"), "pieces")
+    histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most room rows
     spark = pieces.sparkSession
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint"))
@@ -123,12 +132,12 @@ def pack(pieces: DataFrame, room: int = ROOM, by: tuple[str, ...] = ("doc_id", "
     where = spark.range(1).select(F.explode(F.split(F.lit(table), ";")).alias("s")).select(*(part[i].cast("bigint").alias(n) for i, n in enumerate(names)))
     # one row a length: its ranges of ranks; their number follows room, not the data
     where = where.withColumn("to", F.col("first") + F.col("ranks") - 1)
-    lists = where.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "to", "count", "sequence", "offset0"))).alias("ranges"))
+    lists = where.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "to", "count", "sequence", "offset0"))).alias("_q_ranges"))
     r = ranked(pieces, list(by)).join(F.broadcast(lists), "length")
-    hit = F.filter("ranges", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") <= x["to"]))[0]
-    r = r.withColumn("hit", hit).drop("ranges")
-    step = F.col("rank") - F.col("hit.first")
-    return r.withColumn("sequence_id", F.col("hit.sequence") + F.pmod(step, F.col("hit.count"))).withColumn("offset", F.col("hit.offset0") + F.floor(step / F.col("hit.count")).cast("bigint") * F.col("length")).drop("hit", "rank")
+    rank, hit = F.col("_q_rank"), F.col("_q_hit")
+    r = r.withColumn("_q_hit", F.filter("_q_ranges", lambda x: (x["first"] <= rank) & (rank <= x["to"]))[0]).drop("_q_ranges")
+    step = rank - hit["first"]
+    return r.withColumn("sequence_id", hit["sequence"] + F.pmod(step, hit["count"])).withColumn("offset", hit["offset0"] + F.floor(step / hit["count"]).cast("bigint") * F.col("length")).drop("_q_hit", "_q_rank")
 
 
 def sequences(packed: DataFrame, room: int = ROOM, pad: int = 0) -> DataFrame:
@@ -143,4 +152,4 @@ def sequences(packed: DataFrame, room: int = ROOM, pad: int = 0) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM, end: int = END) -> DataFrame:
     """Place of every piece of every document, with the crc32 of its ids."""
-    return pack(cut_pieces(docs, vocabulary, room, end).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), room)
+    return pack(cut_pieces(docs, vocabulary, room, end, with_ids=False), room)

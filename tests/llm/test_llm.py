@@ -222,9 +222,20 @@ def test_patterns_use_every_length():
         assert used == h
 
 
+def library_ids(rows, end):
+    """Ids of every row's text, from the library itself."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    return [np.append(np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4"), np.array([end], "<u4")) for _, x in rows]
+
+
 def test_packing(spark, corpus):
-    p = tokens.Pieces(tokens.default_path())
-    packed = packing.pack(packing.cut_pieces(table(spark, corpus), room=64), 64).collect()
+    ids = {i: x for (i, _), x in zip(corpus, library_ids(corpus, 2))}
+    pieces = packing.cut_pieces(table(spark, corpus), room=64).withColumn("salt", F.lit(1)).withColumn("rank", F.lit("r")).withColumn("base", F.lit(2)).withColumn("hit", F.lit(3))
+    packed = packing.pack(pieces, 64)
+    assert sorted(packed.columns) == sorted([*pieces.columns, "sequence_id", "offset"])  # columns of others stay
+    packed = packed.collect()
     seq: dict[int, list] = {}
     for x in packed:
         seq.setdefault(x.sequence_id, []).append((x.offset, x.length))
@@ -235,11 +246,12 @@ def test_packing(spark, corpus):
             assert offset == at
             at += length
         assert at <= 64
-    texts = {i: t for i, t in corpus}
     for x in packed:
-        ids = np.append(p([texts[x.doc_id]])[0], np.uint16(2)).astype("<u4")
-        assert x.doc_tokens == len(ids) and bytes(x.ids) == ids[x.start : x.start + x.length].tobytes()
-    assert sum(x.length for x in packed) == sum(len(p([t])[0]) + 1 for _, t in corpus)
+        own = ids[x.doc_id][x.start : x.start + x.length]
+        assert x.doc_tokens == len(ids[x.doc_id]) and bytes(x.ids) == own.tobytes() and x.ids_crc32 == zlib.crc32(own)
+    total = sum(map(len, library_ids(corpus, 2)))
+    assert sum(x.length for x in packed) == total
+    assert len(seq) <= 1.1 * -(-total // 64)  # little padding
     whole = packing.sequences(packing.pack(packing.cut_pieces(table(spark, corpus[:30]), room=64), 64), 64).collect()
     assert all(len(x.ids) == 4 * (64 if bin(x.used).count("1") != 1 else x.used) for x in whole)
     assert packing.pack_documents(table(spark, [])).isEmpty()
@@ -259,6 +271,13 @@ def test_id_code_round_trip():
                 broken[at] ^= 16
                 with pytest.raises(ValueError):
                     idfile.decode(bytes(broken))
+    r = np.random.default_rng(1)
+    ids = r.zipf(1.3, 300_000).clip(0, 65_535).astype(np.uint16)
+    s = idfile.encode([1], [len(ids)], ids)
+    for k in (0, 7, len(ids) // idfile.BLOCK):  # any block without the others
+        assert (idfile.read_block(s, k) == ids[idfile.BLOCK * k : idfile.BLOCK * (k + 1)]).all()
+    entropy = -sum(p * np.log2(p) for p in np.unique(ids, return_counts=True)[1] / len(ids))
+    assert len(s) * 8 < 1.35 * entropy * len(ids)  # order 0 learns the ids' counts within the block
     same = np.tile(np.arange(50, dtype=np.uint16), 400)
     assert len(idfile.encode([1], [len(same)], same)) < len(same) // 2
 
