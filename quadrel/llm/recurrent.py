@@ -1,11 +1,13 @@
 """Language-model scoring with a gated recurrent network (operator 9).
 
-Tokens are words and one end. Their probability is factored: P(class | history) from a gated
-recurrent unit over the classes so far, with a softmax over classes, times P(word | class), the
-smoothed share of the word's training count in its class. The most frequent words and the end
-are classes of their own; other words fall into classes by their ending. An unseen word takes
-its class's share for the unseen, so probabilities sum to one over known words and one unknown a
-class. State runs on from window to window over a whole document.
+Tokens are words and one end. Their probability is factored by class, both factors from the state of
+a gated recurrent unit over the tokens so far: P(class | state), a softmax over ``CLASSES``, times
+P(word | class, state), a softmax over the words of the class. The ``VOCABULARY`` most frequent words
+are put into classes of ``MEMBERS`` by rank and have embeddings of their own; the end is a class. All
+other words, of which a corpus has no bounded number, fall into classes by their ending, by which the
+network sees them, and whose second factor is the word's smoothed share of the class's training
+count. An unseen word takes its class's share for the unseen, so probabilities sum to one over known
+words and one unknown a class. State runs on from window to window over a whole document.
 
 Counts cover all training documents: every task counts its words, hash and class only, and the
 counts are summed by hash. Scoring looks the ``TOP`` most frequent words up locally, whatever
@@ -17,94 +19,93 @@ from there over all documents of its partition, lot by lot, and the tasks' weigh
 by tokens.
 
 Defined cases: a null text is empty and has one token, the end; a null doc_id is not held out;
-repeated rows are scored each and counted each; without training tokens every word is unseen
-and the network is uniform; an empty table gives no rows.
+repeated rows are scored each and counted each; other columns are ignored; ties of frequency go by
+hash; without training tokens every word is unseen and the network is uniform; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, words_of
+from .common import materialise
+from .words import PAD, Table, Words, hash_word, lots
 
-CLASSES, SINGLES, HIDDEN = 128, 63, 32
-TOP, FIT_TOKENS, EPOCHS, WINDOW, LANES = 65_536, 800_000, 3, 32, 192
+HIDDEN, OPEN, GROUPS, MEMBERS = 24, 31, 32, 64
+VOCABULARY, CLASSES = GROUPS * MEMBERS, OPEN + GROUPS + 1
+#: Numbers of tokens: words of the vocabulary, classes by ending, the end (which is also what a document starts from), filling.
+MARK, FILL = VOCABULARY + OPEN, VOCABULARY + OPEN + 1
+TOP, FIT_TOKENS, EPOCHS, WINDOW, LANES = 65_536, 800_000, 3, 32, 256
 LOT_TOKENS, RATE = 400_000, 0.001
 FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
 END_HASH = 0x656E64
 PUNCTUATION = b".,;:!?#%*&$|()[]{}\"'-"
-_OPEN = CLASSES - SINGLES - 1  # classes by ending; then the singles, then the end
 LN10 = math.log(10)
-
-
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+#: Class of each token number, and its place among the class's words (-1: decided by the class alone, or by counts).
+CLASS_OF = np.concatenate([OPEN + np.arange(VOCABULARY) // MEMBERS, np.arange(OPEN), [CLASSES - 1, 0]])
+PLACE_OF = np.concatenate([np.arange(VOCABULARY) % MEMBERS, np.full(OPEN + 2, -1)])
+_STOPS = np.zeros(256, bool)
+_STOPS[list(PUNCTUATION)] = True
+
+
+def endings(words: Words, at: np.ndarray) -> np.ndarray:
+    """Class by ending of the words there: from the last three bytes but punctuation, and whether that follows."""
+    low, begin = words.low, words.begin[at]
+    end = begin + words.size[at]
+    here = np.arange(len(low))
+    solid = ~_STOPS[low]
+    last = np.maximum.accumulate(np.where(solid, here, -1))
+    first = np.minimum.accumulate(np.where(solid, here, len(low))[::-1])[::-1]
+    core = np.maximum(last[end - 1] + 1, begin) if len(at) else end
+    size = np.clip(core - np.minimum(first[begin], core), 0, 3) if len(at) else end
+    eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+    tail = (eight[core - 8] >> np.uint64(40)) >> (8 * (3 - size)).astype(np.uint64)
+    tail = np.where(size > 0, tail, np.uint64(0)) * np.uint64(2) + ((core < end) & (size > 0)).astype(np.uint64)
+    return ((tail * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(OPEN)).astype(np.int32)
 
 
 def ending_class(word: bytes) -> int:
-    core = word.strip(PUNCTUATION)
-    return zlib.crc32(core[-3:] + (b"." if word[-1:] in PUNCTUATION and core else b"")) % _OPEN
-
-
-class Words:
-    """Numbers of words with what is known of each: hash, class, log10(count + 0.5) if among the top, else nan."""
-
-    def __init__(self, top: dict[int, tuple[int, float]] | None = None, bound: int = 400_000):
-        self.top, self.bound = top or {}, bound
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hash, self.cls, self.log = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8), np.zeros(1024)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        index = self.index
-        if len(index) + len(words) > self.bound + 1_000_000 or len(index) > self.bound:
-            self.clear()
-            index = self.index
-        for w in set(words).difference(index):
-            k = len(index)
-            if k == len(self.hash):
-                self.hash, self.cls, self.log = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.cls, self.log))
-            h = hash_of(w)
-            known = self.top.get(h)
-            self.hash[k] = h
-            self.cls[k] = ending_class(w) if known is None or known[0] < 0 else known[0]
-            self.log[k] = np.nan if known is None else known[1]
-            index[w] = k
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+    """Class by ending of one word, lower-cased already."""
+    return int(endings(Words(pa.array([word.decode()], pa.string())), np.zeros(1, np.int64))[0])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """hash, class, n of all words of docs, and the end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = ends = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, c, n = (np.concatenate(x) for x in zip(*held))
+            kinds, first, place = np.unique(h, return_index=True, return_inverse=True)
+            return kinds, c[first], np.bincount(place, n).astype(np.int64)
 
         def emit() -> pa.RecordBatch:
-            h = np.fromiter(map(hash_of, seen), np.uint64, len(seen)).view(np.int64)
-            c = np.fromiter(map(ending_class, seen), np.int32, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h, END_HASH)), pa.array(np.append(c, CLASSES - 1).astype(np.int32)), pa.array(np.append(np.fromiter(seen.values(), np.int64, len(seen)), ends))], ["hash", "class", "n"])
+            h, c, n = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(np.append(h.view(np.int64), END_HASH)), pa.array(np.append(c, CLASSES - 1).astype(np.int32)), pa.array(np.append(n, ends))], ["hash", "class", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-                ends += 1
-                if len(seen) > 500_000:
-                    yield emit()
-                    seen, ends = Counter(), 0
-        if ends:
+            for lo, hi, words in lots(batch.column(0)):
+                ends += hi - lo
+                kinds, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+                held.append((kinds, endings(words, first), n))
+                size += len(kinds)
+                if size > 2_000_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 1_000_000:
+                        yield emit()
+                        held, size, ends = [], 0, 0
+        if held:
+            held = [merged()]
             yield emit()
 
     return docs.select("text").mapInArrow(run, "hash bigint, class int, n bigint").groupBy("hash", "class").agg(F.sum("n").alias("n"))
@@ -119,43 +120,61 @@ class Adam:
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: Callable[[int], float]) -> None:
         self.t += 1
         t, a = self.t, rate(self.t)
+        scale, bias = np.float32(a / (1 - 0.9**t)), np.float32(1 / (1 - 0.995**t))
         for k, v in g.items():
             np.clip(v, -0.5, 0.5, out=v)
-            self.first[k] += 0.1 * (v - self.first[k])
-            self.second[k] += 0.005 * (v * v - self.second[k])
-            p[k] -= (a * (self.first[k] / (1 - 0.9**t)) / (np.sqrt(self.second[k] / (1 - 0.995**t)) + 1e-6)).astype(np.float32)
+            one, two = self.first[k], self.second[k]
+            one *= np.float32(0.9)
+            one += np.float32(0.1) * v
+            v *= v
+            v *= np.float32(0.005)
+            two *= np.float32(0.995)
+            two += v
+            np.sqrt(two * bias, out=v)
+            v += np.float32(1e-6)
+            p[k] -= scale * one / v
 
 
 class Network:
-    """A gated recurrent unit over classes with a class softmax."""
+    """A gated recurrent unit over tokens, a softmax over classes and one over each class's words."""
 
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
         self.p = {
-            "x": r.normal(0, 0.1, (CLASSES + 1, 3 * HIDDEN)), "u": r.normal(0, 1 / math.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)),
-            "b": np.zeros(HIDDEN), "o": np.zeros((HIDDEN, CLASSES)), "c": np.zeros(CLASSES),
+            "x": r.normal(0, 0.1, (VOCABULARY + OPEN + 1, 3 * HIDDEN)), "u": r.normal(0, 1 / math.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)), "b": np.zeros(HIDDEN),
+            "o": np.zeros((HIDDEN, CLASSES)), "c": np.zeros(CLASSES), "v": np.zeros((GROUPS, HIDDEN, MEMBERS)), "d": np.zeros((GROUPS, MEMBERS)),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
+    def start(self, numbers: np.ndarray) -> None:
+        """Biases at the shares of classes and words (``numbers``: count of each token number up to the end)."""
+        of_class = np.bincount(CLASS_OF[: MARK + 1], numbers, CLASSES) + 0.5
+        self.p["c"] = np.log(of_class / of_class.sum()).astype(np.float32)
+        words = numbers[:VOCABULARY].reshape(GROUPS, MEMBERS)
+        # places that no word has take no probability
+        self.p["d"] = np.where(words > 0, np.log(np.maximum(words, 1)), -30.0).astype(np.float32)
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         u = h @ self.p["u"]
-        zr = 0.5 * np.tanh(0.5 * (x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])) + np.float32(0.5)
+        zr = x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+        zr *= np.float32(0.5)
+        np.tanh(zr, out=zr)
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         m = u[:, 2 * HIDDEN :] + self.p["b"]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * m)
-        return n + z * (h - n), z, r, m, n
-
-    def log_softmax(self, h: np.ndarray) -> np.ndarray:
-        a = h @ self.p["o"] + self.p["c"]
-        a -= a.max(1, keepdims=True)
-        return a - np.log(np.exp(a).sum(1, keepdims=True))
+        n = r * m
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, m, n
 
     def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.006) -> None:
         """Fit from nothing, with a falling rate."""
         if not documents:
             return
-        prior = np.bincount(np.concatenate(documents), minlength=CLASSES)[:CLASSES] + 0.5
-        self.p["c"] = np.log(prior / prior.sum()).astype(np.float32)
         grid, adam = self._lanes(documents), Adam(self.p)
         rounds = epochs * max(1, (len(grid) - 1) // WINDOW)
         for _ in range(epochs):
@@ -166,11 +185,13 @@ class Network:
         self._pass(self._lanes(documents), adam, lambda t: RATE)
 
     def _lanes(self, documents: list[np.ndarray]) -> np.ndarray:
-        """Joined documents, cut into lanes; the last lane is filled up with document starts, which are not predicted."""
-        stream = np.concatenate([np.concatenate([[CLASSES], d]) for d in documents]).astype(np.int64)
+        """Joined documents (each ends in the mark, from which the next one starts), cut into lanes, the last one filled up."""
+        stream = np.concatenate([[MARK], *documents]).astype(np.int64)
         lanes = max(1, min(LANES, len(stream) // (4 * WINDOW)))
-        length = -(-len(stream) // lanes)
-        return np.append(stream, np.full(lanes * length - len(stream), CLASSES)).reshape(lanes, length).T
+        length = -(-(len(stream) - 1) // lanes)
+        stream = np.append(stream, np.full(lanes * length + 1 - len(stream), FILL))
+        # a lane's last token is the next one's first
+        return np.concatenate([stream[:-1].reshape(lanes, length), stream[length::length][:, None]], 1).T
 
     def _pass(self, grid: np.ndarray, adam: Adam, rate: Callable[[int], float]) -> None:
         """Truncated backpropagation over all windows, state carried from window to window."""
@@ -182,61 +203,98 @@ class Network:
     def _window(self, grid: np.ndarray, steps: range, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         kept = []
         for s in steps:
-            seen = grid[s]
-            h = np.where((seen == CLASSES)[:, None], np.float32(0), h)  # a new document starts from nothing
-            new, *gates = self.step(self.p["x"][seen], h)
+            seen = np.minimum(grid[s], MARK)
+            h = np.where((seen == MARK)[:, None], np.float32(0), h)  # a new document starts from nothing
+            new, *gates = self.step(self.p["x"].take(seen, 0), h)
             kept.append((seen, h, new, *gates))
             h = new
         hs = np.concatenate([k[2] for k in kept])
-        target = np.concatenate([grid[s + 1] for s in steps])
-        real = target < CLASSES  # what starts a document is not predicted
+        target = grid[steps[0] + 1 : steps[-1] + 2].reshape(-1)
+        real = target != FILL  # filling is not predicted
         weight = real.astype(np.float32) / np.float32(max(1, real.sum()))
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         lanes, later = len(h), np.zeros_like(h)
         back, ones = np.empty_like(hs), np.ones(CLASSES, np.float32)
+        of_class, place = CLASS_OF[target], PLACE_OF[target]
+        out_t = np.ascontiguousarray(self.p["o"].T)
         for lo in range(0, len(hs), 8 * lanes):  # pieces that stay in the cache
-            part, w, want = hs[lo : lo + 8 * lanes], weight[lo : lo + 8 * lanes], target[lo : lo + 8 * lanes]
+            part, w, want = hs[lo : lo + 8 * lanes], weight[lo : lo + 8 * lanes], of_class[lo : lo + 8 * lanes]
             d = part @ self.p["o"]
             d += self.p["c"]
             d -= d.max(1, keepdims=True)
             np.exp(d, out=d)
             d *= (w / (d @ ones))[:, None]
-            d[np.arange(len(d)), np.where(want < CLASSES, want, 0)] -= w
+            d[np.arange(len(d)), want] -= w
             g["o"] += part.T @ d
             g["c"] += d.sum(0)
-            back[lo : lo + 8 * lanes] = d @ self.p["o"].T
+            back[lo : lo + 8 * lanes] = d @ out_t
+        inner = np.ones(MEMBERS, np.float32)
+        for k, at in _by_group(of_class, place):
+            part, w = hs[at], weight[at]
+            d = part @ self.p["v"][k]
+            d += self.p["d"][k]
+            d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d *= (w / (d @ inner))[:, None]
+            d[np.arange(len(at)), place[at]] -= w
+            g["v"][k] = part.T @ d
+            g["d"][k] = d.sum(0)
+            back[at] += d @ self.p["v"][k].T
         to_gates, to_new = np.ascontiguousarray(self.p["u"][:, : 2 * HIDDEN].T), np.ascontiguousarray(self.p["u"][:, 2 * HIDDEN :].T)
         dx, dm = np.empty((len(kept), lanes, 3 * HIDDEN), np.float32), np.empty((len(kept), lanes, HIDDEN), np.float32)
         for i in range(len(kept) - 1, -1, -1):
             seen, before, _, z, r, m, n = kept[i]
             dh = back[i * lanes : (i + 1) * lanes] + later
             hz = dh * z
-            dn = (dh - hz) * (1 - n * n)
+            dn = dh - hz
+            dn *= 1 - n * n
             np.multiply(dn, r, out=dm[i])
             dx[i, :, 2 * HIDDEN :] = dn
             dx[i, :, :HIDDEN] = hz * (before - n) * (1 - z)
             dx[i, :, HIDDEN : 2 * HIDDEN] = dm[i] * m * (1 - r)
-            later = hz + dx[i, :, : 2 * HIDDEN] @ to_gates + dm[i] @ to_new
-            later[seen == CLASSES] = 0
+            later = hz
+            later += dx[i, :, : 2 * HIDDEN] @ to_gates
+            later += dm[i] @ to_new
+            later[seen == MARK] = 0
         dx, dm = dx.reshape(-1, 3 * HIDDEN), dm.reshape(-1, HIDDEN)
         before, seen = np.concatenate([k[1] for k in kept]), np.concatenate([k[0] for k in kept])
         g["u"] = np.concatenate([before.T @ dx[:, : 2 * HIDDEN], before.T @ dm], 1)
         g["b"] = dm.sum(0)
-        order = np.argsort(seen.astype(np.uint8), kind="stable")
+        order = np.argsort(seen.astype(np.uint16), kind="stable")
         seen = seen[order]
         starts = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
         g["x"][seen[starts]] = np.add.reduceat(dx[order], starts)
         return h, g
 
+    def logs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probability (of class, and of word in class where there is one) of each target (-1: 0) after its state."""
+        real = np.where(target < 0, MARK, target)
+        of_class, place = CLASS_OF[real], PLACE_OF[real]
+        a = h @ self.p["o"]
+        a += self.p["c"]
+        a -= a.max(1, keepdims=True)
+        out = a[np.arange(len(a)), of_class]
+        np.exp(a, out=a)
+        out -= np.log(a @ np.ones(CLASSES, np.float32))
+        inner = np.ones(MEMBERS, np.float32)
+        for k, at in _by_group(of_class, place):
+            a = h[at] @ self.p["v"][k]
+            a += self.p["d"][k]
+            a -= a.max(1, keepdims=True)
+            own = a[np.arange(len(at)), place[at]]
+            np.exp(a, out=a)
+            out[at] += own - np.log(a @ inner)
+        return np.where(target < 0, 0, out)
+
     def score(self, documents: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence of classes, whole, state carried throughout."""
+        """log10 probability of each sequence of tokens, whole, state carried throughout."""
         out = np.zeros(len(documents))
         order = np.argsort([-len(d) for d in documents], kind="stable")
         for lo in range(0, len(order), 512):
             lot = order[lo : lo + 512]
             sizes = np.array([len(documents[i]) for i in lot])
             total = np.zeros(len(lot))
-            h, seen = np.zeros((len(lot), HIDDEN), np.float32), np.full(len(lot), CLASSES)
+            h, seen = np.zeros((len(lot), HIDDEN), np.float32), np.full(len(lot), MARK)
             for begin in range(0, int(sizes.max()), WINDOW):
                 live = int((sizes > begin).sum())  # longest first: a prefix of the lanes
                 span = min(WINDOW, int(sizes[0]) - begin)
@@ -250,20 +308,62 @@ class Network:
                     h = self.step(self.p["x"].take(seen, 0), h)[0]
                     states[s] = h
                     seen = grid[:, s]  # -1 (past the end) reads a row whose result is not used
-                for a in range(0, span, 8):
-                    part = states[a : a + 8].reshape(-1, HIDDEN)
-                    want = grid[:, a : a + 8].T.reshape(-1)
-                    logs = self.log_softmax(part)[np.arange(len(want)), want]
-                    total[:live] += np.where(want >= 0, logs, 0).reshape(-1, live).sum(0, dtype=np.float64)
+                for a in range(0, span, 16):
+                    part = states[a : a + 16].reshape(-1, HIDDEN)
+                    logs = self.logs(part, grid[:, a : a + 16].T.reshape(-1))
+                    total[:live] += logs.reshape(-1, live).sum(0, dtype=np.float64)
             out[lot] = total / LN10
         return out
 
 
+def _by_group(of_class: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group of words, where its words are wanted), group by group."""
+    at = np.flatnonzero(place >= 0)
+    group = (of_class[at] - OPEN).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for k in range(GROUPS):
+        if cuts[k + 1] > cuts[k]:
+            yield k, at[order[cuts[k] : cuts[k + 1]]]
+
+
+class Known:
+    """The top words by falling count: hashes, counts; the first of them are the network's vocabulary."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+
+    def open(self) -> None:
+        if not hasattr(self, "table"):
+            self.table = Table(self.keys)
+            self.log = np.append(np.log10(self.counts + 0.5), np.nan)  # -1: none
+
+    def __getstate__(self):
+        return {"keys": self.keys, "counts": self.counts}
+
+    def tokens(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(token number, log10(count + 0.5) or nan) of every word."""
+        self.open()
+        found = self.table.find(words.hash)
+        out = found.astype(np.int64)
+        rest = np.flatnonzero((found < 0) | (found >= VOCABULARY))
+        out[rest] = VOCABULARY + endings(words, rest)
+        return out, self.log[found]
+
+
+def documents_of(texts: pa.Array, known: Known) -> Iterator[tuple[int, int, Words, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Lot by lot: first and last text, words, tokens of each text with the end, tokens without ends, logs."""
+    for lo, hi, words in lots(texts):
+        number, log = known.tokens(words)
+        every = np.insert(number, words.ends, MARK).astype(np.uint16)
+        yield lo, hi, words, np.split(every, (words.ends + np.arange(1, len(words) + 1))[:-1]), number, log
+
+
 class Model:
     """What scoring needs: totals, the top words, class shares and the network. Its size does not follow the corpus."""
 
-    def __init__(self, n: int, v: int, top: dict[int, tuple[int, float]], shares: np.ndarray, ends: int, network: Network):
-        self.n, self.v, self.top, self.shares, self.ends, self.network = n, v, top, shares, ends, network
+    def __init__(self, n: int, v: int, known: Known, shares: np.ndarray, ends: int, network: Network):
+        self.n, self.v, self.known, self.shares, self.ends, self.network = n, v, known, shares, ends, network
 
 
 def train(docs: DataFrame, fit_tokens: int = FIT_TOKENS) -> tuple[Model, DataFrame]:
@@ -273,56 +373,59 @@ def train(docs: DataFrame, fit_tokens: int = FIT_TOKENS) -> tuple[Model, DataFra
     ends_row = counts.filter((F.col("hash") == END_HASH) & (F.col("class") == CLASSES - 1)).first()
     words = counts.filter(F.col("class") < CLASSES - 1)
     rows = words.orderBy(F.desc("n"), "hash").limit(TOP).collect()
-    singles = {r["hash"]: _OPEN + i for i, r in enumerate(rows[:SINGLES])}
-    top = {r["hash"] % 2**64: (singles.get(r["hash"], -1), math.log10(r["n"] + 0.5)) for r in rows}
-    shares = np.zeros(CLASSES)
+    known = Known(np.array([r["hash"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64))
+    # counts by ending of the words that are not in the vocabulary
+    shares = np.zeros(OPEN)
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        mine = [x for x in rows[:SINGLES] if x["class"] == r["class"]]
-        shares[r["class"]] = (r["n"] - sum(x["n"] for x in mine)) + 0.5 * (r["v"] - len(mine))
-    shares = np.log10(shares + 0.5)
+        shares[r["class"]] = r["n"] + 0.5 * r["v"]
+    for r in rows[:VOCABULARY]:
+        shares[r["class"]] -= r["n"] + 0.5
+    ends = ends_row["n"] if ends_row else 0
+    numbers = np.zeros(MARK + 1)
+    numbers[: min(VOCABULARY, len(rows))] = known.counts[:VOCABULARY]
+    numbers[VOCABULARY:MARK], numbers[MARK] = np.maximum(0, shares), ends
     network = Network()
     total = whole["n"] or 0
     if total:
+        network.start(numbers)
         share = min(1.0, 1.1 * fit_tokens / total)
         picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) <= int(share * 2**31))
-        network.fit(_fit_documents(picked, top, fit_tokens, share))
-        network.p = _fit_all(docs, top, network, total)
-    return Model(total, whole["v"] or 0, top, shares, ends_row["n"] if ends_row else 0, network), counts
+        network.fit(_fit_documents(picked, known, fit_tokens))
+        network.p = _fit_all(docs, known, network, total)
+    return Model(total, whole["v"] or 0, known, np.log10(shares + 0.5), ends, network), counts
 
 
-def _fit_documents(picked: DataFrame, top: dict, most: int, share: float) -> list[np.ndarray]:
+def _fit_documents(picked: DataFrame, known: Known, most: int) -> list[np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(top)
         for batch in batches:
-            out = [np.append(words.cls[k], np.uint8(CLASSES - 1)).tobytes() for t in batch.column(1).to_pylist() for k in [words(words_of(t))]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "classes"])
+            for lo, hi, _, documents, _, _ in documents_of(batch.column(1), known):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([d.tobytes() for d in documents], pa.binary())], ["key", "tokens"])
 
-    rows = picked.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "key bigint, classes binary")
-    # one byte a token; as many documents as the bound takes
+    rows = picked.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(run, "key bigint, tokens binary")
+    # two bytes a token; as many documents as the bound takes
     found, size = [], 0
-    for r in sorted(rows.collect(), key=lambda r: (r["key"] % 2**31, r["classes"])):
-        found.append(np.frombuffer(r["classes"], np.uint8))
+    for r in sorted(rows.collect(), key=lambda r: (r["key"] % 2**31, r["tokens"])):
+        found.append(np.frombuffer(r["tokens"], np.uint16))
         size += len(found[-1])
         if size >= most:
             break
     return found
 
 
-def _fit_all(docs: DataFrame, top: dict, network: Network, total: int) -> dict[str, np.ndarray]:
+def _fit_all(docs: DataFrame, known: Known, network: Network, total: int) -> dict[str, np.ndarray]:
     """Weights after every task went on from network over all its documents, averaged by tokens. A row a weight, however many tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast((top, network.p))
+    shared = docs.sparkSession.sparkContext.broadcast((known, network.p))
     cuts = np.cumsum([v.size for v in network.p.values()])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = shared.value
-        net, words = Network(), Words(known)
+        top, start = shared.value
+        net = Network()
         net.p = {k: v.copy() for k, v in start.items()}
         adam, lot, held, seen = Adam(net.p), [], 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                k = words(words_of(text.as_py()))
-                lot.append(np.append(words.cls[k], np.uint8(CLASSES - 1)))
-                held += len(lot[-1])
+            for *_, documents, number, _ in documents_of(batch.column(0), top):
+                lot += documents
+                held += len(number) + len(documents)
                 if held >= LOT_TOKENS:
                     net.go_on(lot, adam)
                     lot, held, seen = [], 0, seen + held
@@ -333,10 +436,9 @@ def _fit_all(docs: DataFrame, top: dict, network: Network, total: int) -> dict[s
             flat = np.concatenate([v.reshape(-1) for v in net.p.values()]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.append(1.0, flat) * seen)], ["k", "w"])
 
-    rows = docs.select("text").mapInArrow(run, "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect()
+    rows = docs.select("text").mapInArrow(run, "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).toPandas()
     sums = np.zeros(cuts[-1] + 1)
-    for r in rows:
-        sums[r["k"] + 1] = r["w"]
+    sums[rows["k"].to_numpy() + 1] = rows["w"].to_numpy()
     if round(sums[0]) != total:
         raise ValueError(f"the network was fitted on {sums[0]:.0f} of {total} tokens")
     parts = np.split((sums[1:] / total).astype(np.float32), cuts[:-1])
@@ -349,10 +451,11 @@ def _send(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        words, k = Words(m.top), 0
+        m, k = shared.value, 0
         ids: list[int | None] = []
-        lots: list[tuple] = []
+        documents: list[np.ndarray] = []
+        notes: list[np.ndarray] = []
+        far: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         end_log = math.log10(m.ends + 0.5)
 
@@ -360,17 +463,17 @@ def _send(docs: DataFrame, model: Model, parts: int) -> DataFrame:
             nonlocal k
             name = f"{TaskContext.get().partitionId()}-{k}"
             k += 1
-            net = m.network.score([x[0] for x in lots])
-            note = np.zeros((len(lots), 5))
-            for i, (classes, log, single, _, _) in enumerate(lots):
-                here = ~np.isnan(log)
-                tail = ~single
-                note[i] = len(classes), here.sum() + (m.ends > 0), log[here].sum() + end_log, net[i] + log[here & tail].sum() - m.shares[classes[:-1][tail]].sum(), 0
-            doc = np.repeat(np.arange(len(lots), dtype=np.uint16), [len(x[3]) for x in lots])
-            key, times = (np.concatenate([x[j] for x in lots]) for j in (3, 4))
+            note = np.concatenate(notes)
+            note[:, 3] += m.network.score(documents)
+            doc, key = (np.concatenate(x) for x in zip(*far))
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(doc))).astype(np.uint32)
+            doc, key = doc[new].astype(np.uint16), key[new]
             to = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(to, kind="stable")
-            to, key, doc, times = to[order], key[order], doc[order], times[order].astype(np.uint32)
+            to, key, doc, times = to[order], key[order], doc[order], times[order]
             cuts = np.flatnonzero(np.diff(to)) + 1
             raw = np.array([-(2**63) if i is None else i for i in ids], np.int64).tobytes()
             rows = [(TaskContext.get().partitionId() % parts, name, raw, note.tobytes(), b"note")]
@@ -380,16 +483,28 @@ def _send(docs: DataFrame, model: Model, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[lo : lo + 500]), fields)], schema=fields)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = words(words_of(text.as_py()))
-                cls, log = words.cls[w], words.log[w]
-                far, times = np.unique(words.hash[w[np.isnan(log)]], return_counts=True)
-                ids.append(doc)
-                lots.append((np.append(cls, np.uint8(CLASSES - 1)), log, cls >= _OPEN, far, times))
-                held += len(w) + 1
+            names = batch.column(0).to_pylist()
+            for lo, hi, words, texts, number, log in documents_of(batch.column(1), m.known):
+                doc = np.repeat(np.arange(hi - lo), np.diff(words.ends, prepend=0))
+                here, tail = ~np.isnan(log), number >= VOCABULARY
+                own = np.where(here, log, 0)
+
+                def by_text(x: np.ndarray) -> np.ndarray:
+                    return np.bincount(doc, x, hi - lo)
+
+                note = np.zeros((hi - lo, 5))
+                note[:, 0] = np.diff(words.ends, prepend=0) + 1
+                note[:, 1] = by_text(here) + (m.ends > 0)
+                note[:, 2] = by_text(own) + end_log
+                note[:, 3] = by_text(np.where(tail, own - m.shares[np.where(tail, number - VOCABULARY, 0)], 0))
+                far.append((doc[~here] + len(ids), words.hash[~here]))
+                notes.append(note)
+                ids += names[lo:hi]
+                documents += texts
+                held += len(number) + hi - lo
                 if held >= FLUSH_TOKENS or len(ids) >= FLUSH_DOCS:
                     yield from flush()
-                    ids, lots, held = [], [], 0
+                    ids, documents, notes, far, held = [], [], [], [], 0
         if ids:
             yield from flush()
 
@@ -424,11 +539,11 @@ def score(docs: DataFrame, fold: int = 1, folds: int = 5, fit_tokens: int = FIT_
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
     model, counts = train(docs.filter(~held), fit_tokens)
     spark = docs.sparkSession
-    parts = int(min(60_000, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), model.v // 1_000_000)))
+    parts = int(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), model.v // 1_000_000))
     sent = _send(docs, model, parts)
     # the top words never travel
-    least = min((x[1] for x in model.top.values()), default=math.log10(0.5))
-    rest = counts.filter((F.col("class") < CLASSES - 1) & (F.col("n") <= math.ceil(10**least)))
+    least = int(model.known.counts.min()) if len(model.known.counts) else 0
+    rest = counts.filter((F.col("class") < CLASSES - 1) & (F.col("n") <= least))
     rest = rest.select(F.shiftright(F.shiftrightunsigned("hash", 32) * parts, 32).cast("int").alias("to"), "hash", "n")
     back = sent.groupBy("to").cogroup(rest.groupBy("to")).applyInPandas(_look_up, "flush string, docs binary, keys binary, extra binary")
     n, v = model.n, model.v

@@ -5,11 +5,12 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadrel.llm import chat, decontaminate, exact_dedup, idfile, jaccard, packing, recurrent, sharding, tokens, toxicity, urls
+from quadrel.llm import chat, common, decontaminate, exact_dedup, idfile, jaccard, packing, recurrent, sharding, tokens, toxicity, urls, words
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VOCAB = [f"w{i}" for i in range(400)]
@@ -413,23 +414,48 @@ def test_recurrent(spark, corpus):
     assert recurrent.score(table(spark, [])).isEmpty()
 
 
+def own_log(net, state, token):
+    """Log probability of one token after a state, written plainly."""
+    a = state @ net.p["o"] + net.p["c"]
+    c = recurrent.CLASS_OF[token]
+    out = a[c] - np.log(np.exp(a - a.max()).sum()) - a.max()
+    if token < recurrent.VOCABULARY:
+        a = state @ net.p["v"][c - recurrent.OPEN] + net.p["d"][c - recurrent.OPEN]
+        out += a[token % recurrent.MEMBERS] - np.log(np.exp(a - a.max()).sum()) - a.max()
+    return float(out)
+
+
+def plain_score(net, document):
+    """log10 probability of a token sequence, one step at a time."""
+    state, seen, total = np.zeros((1, recurrent.HIDDEN), np.float32), recurrent.MARK, 0.0
+    for c in document:
+        state = net.step(net.p["x"][[seen]], state)[0]
+        total += own_log(net, state[0], int(c))
+        seen = c
+    return total / recurrent.LN10
+
+
 def test_network():
     """Gradients agree with differences, probabilities sum to one, windows do not change a score."""
     net = recurrent.Network()
-    net.p["o"] = np.random.default_rng(0).normal(0, 0.3, net.p["o"].shape).astype(np.float32)
     r = np.random.default_rng(1)
-    grid = r.integers(0, recurrent.CLASSES, (6, 3))
+    for k in "ov":
+        net.p[k] = r.normal(0, 0.3, net.p[k].shape).astype(np.float32)
+    kinds = np.array([3, 70, 500, recurrent.VOCABULARY + 4, recurrent.MARK])
+    grid = kinds[r.integers(0, 4, (6, 3))]
+    grid[3, 1], grid[5, 2] = recurrent.MARK, recurrent.FILL
     h = np.zeros((3, recurrent.HIDDEN), np.float32)
 
     def loss():
         state, total = h, 0.0
         for s in range(5):
-            state = net.step(net.p["x"][grid[s]], state)[0]
-            total -= net.log_softmax(state)[np.arange(3), grid[s + 1]].sum()
-        return total / 15
+            state = net.step(net.p["x"][grid[s]], np.where((grid[s] == recurrent.MARK)[:, None], 0, state).astype(np.float32))[0]
+            total -= sum(own_log(net, state[k], grid[s + 1, k]) for k in range(3) if grid[s + 1, k] != recurrent.FILL)
+        return total / 14
 
     _, g = net._window(grid, range(5), h)
-    for name, at in (("u", (2, 40)), ("u", (1, 5)), ("u", (7, 80)), ("x", (int(grid[1, 0]), 70)), ("o", (3, 9)), ("b", (4,))):
+    word = int(kinds[1])
+    for name, at in (("u", (2, 40)), ("u", (1, 5)), ("u", (7, 60)), ("x", (int(grid[1, 0]), 60)), ("o", (3, 9)), ("o", (3, recurrent.OPEN + 1)), ("b", (4,)), ("v", (word // recurrent.MEMBERS, 2, word % recurrent.MEMBERS)), ("v", (0, 5, 3)), ("d", (0, 3))):
         keep = net.p[name][at]
         net.p[name][at] = keep + 0.02
         up = loss()
@@ -437,16 +463,55 @@ def test_network():
         down = loss()
         net.p[name][at] = keep
         assert abs((up - down) / 0.04 - g[name][at]) < 2e-3, name
-    assert abs(np.exp(net.log_softmax(h)).sum(1) - 1).max() < 1e-5
-    docs = [r.integers(0, recurrent.CLASSES, n).astype(np.uint8) for n in (1, 31, 32, 33, 100)]
-    together = net.score(docs)
-    for d, got in zip(docs, together):
-        state, seen, total = np.zeros((1, recurrent.HIDDEN), np.float32), recurrent.CLASSES, 0.0
-        for c in d:
-            state = net.step(net.p["x"][[seen]], state)[0]
-            total += float(net.log_softmax(state)[0, c])
-            seen = c
-        assert abs(total / recurrent.LN10 - got) < 1e-3
+    state = r.normal(0, 1, recurrent.HIDDEN).astype(np.float32)
+    every = [own_log(net, state, t) for t in range(recurrent.MARK + 1)]  # all words, all endings, the end
+    assert abs(np.exp(every).sum() - 1) < 1e-4
+    assert abs(net.logs(np.repeat(state[None], len(every), 0), np.arange(recurrent.MARK + 1)) - every).max() < 1e-4
+    docs = [kinds[r.integers(0, 5, n)].astype(np.uint16) for n in (1, 31, 32, 33, 100)]
+    for d, got in zip(docs, net.score(docs)):
+        assert abs(plain_score(net, d) - got) < 1e-3
+
+
+def test_recurrent_score_by_brute_force(spark):
+    """Scores from the trained model, one token at a time, words beyond the vocabulary by their share of their class."""
+    import math
+    from collections import Counter
+
+    r = random.Random(6)
+    pairs = {f"s{i}": [f"t{i}{k}" for k in range(3)] for i in range(40)}
+    rows = []
+    for i in range(700):
+        line = []
+        for _ in range(30):
+            first = r.choice(list(pairs))
+            line += [first, r.choice(pairs[first])]  # what comes second depends on what came first
+        rows.append((i, " ".join([*line, *(f"rare{r.randrange(5000)}" for _ in range(6)), r.choice(["WORD,", "..."])])))
+    rows += [(5000, None), (5001, "unseen-word t00")]
+    docs = table(spark, rows)
+    got = {x.doc_id: x for x in recurrent.score(docs).collect()}
+    model, _ = recurrent.train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 1))
+    c, keys = Counter(), [int(k) for k in model.known.keys[: recurrent.VOCABULARY]]
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update((t or "").encode().lower().split())
+    rest = {w: n for w, n in c.items() if recurrent.hash_word(w) not in keys}
+    mass = Counter()
+    for w, n in rest.items():
+        mass[recurrent.ending_class(w)] += n + 0.5
+    assert rest
+    for i, t in rows[::20] + rows[-2:]:
+        parts, tokens_, tail = (t or "").encode().lower().split(), [], 0.0
+        for w in parts:
+            h = recurrent.hash_word(w)
+            if h in keys:
+                tokens_.append(keys.index(h))
+            else:
+                e = recurrent.ending_class(w)
+                tokens_.append(recurrent.VOCABULARY + e)
+                tail += math.log10((c[w] + 0.5) / (mass[e] + 0.5))
+        assert abs(plain_score(model.network, [*tokens_, recurrent.MARK]) + tail - got[i].score) < 0.05 + 2e-3 * len(parts), i
+    held = [x for x in got.values() if x.held_out]
+    assert sum(x.score for x in held) > 0.8 * sum(x.base_score for x in held)  # a context-free model can't
 
 
 def test_network_is_fitted_on_all_documents(spark):
@@ -454,14 +519,26 @@ def test_network_is_fitted_on_all_documents(spark):
     docs = table(spark, [(i, "aa bb cc dd " * 60) for i in range(2000)]).repartition(2)
     model, _ = recurrent.train(docs, fit_tokens=5000)
     assert model.n == 2000 * 241
-    words = recurrent.Words(model.top)
-    k = words(b"aa bb cc dd ".split() * 60)
-    d = np.append(words.cls[k], np.uint8(recurrent.CLASSES - 1))
+    ((_, _, _, (d,), _, _),) = recurrent.documents_of(pa.array(["aa bb cc dd " * 60]), model.known)
     first = recurrent.Network()
+    first.start(np.bincount(d, minlength=recurrent.MARK + 1))
     first.fit([d] * 21)
     assert model.network.score([d])[0] > 0.9 * first.score([d])[0]
 
 
+def test_words_are_those_of_the_plain_rule():
+    r = random.Random(2)
+    texts = ["".join(r.choice("aB c\u00e9 \n\t\x0b1,.\x1f Z\u00c9") for _ in range(r.randint(0, 40))) for _ in range(2000)] + [None, "", "x" * 100, "y" * 7 + " " + "z" * 9]
+    found = words.Words(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        want = common.words_of(t)
+        assert [found.low[b : b + n].tobytes() for b, n in zip(found.begin[found.of(i)], found.size[found.of(i)])] == want
+        assert found.hash[found.of(i)].tolist() == [words.hash_word(w) for w in want]
+    kinds = np.unique(found.hash)
+    place = words.Table(kinds)
+    assert (place.find(kinds) == np.arange(len(kinds))).all() and (place.find(kinds + np.uint64(1)) == -1).all()
+
+
 # -- pipeline ------------------------------------------------------------------------------------
 
 
