@@ -43,7 +43,7 @@ VOCABULARY, CLASSES = GROUPS * MEMBERS, OPEN + GROUPS + 1
 #: Numbers of tokens: words of the vocabulary, classes by ending, the end (which is also what a document starts from), filling.
 MARK, FILL = VOCABULARY + OPEN, VOCABULARY + OPEN + 1
 TOP, FIT_TOKENS, EPOCHS, WINDOW, LANES = 65_536, 800_000, 3, 32, 256
-LOT_TOKENS, RATE = 400_000, 0.001
+LOT_TOKENS, RATE = 400_000, 0.003
 FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
 END_HASH = 0x656E64
 PUNCTUATION = b".,;:!?#%*&$|()[]{}\"'-"
@@ -172,10 +172,10 @@ class Network:
         return new, z, r, m, n
 
     def fit(self, documents: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.006) -> None:
-        """Fit from nothing, with a falling rate."""
+        """Fit from nothing, with a falling rate; few documents are cut into few lanes, so that there are steps enough."""
         if not documents:
             return
-        grid, adam = self._lanes(documents), Adam(self.p)
+        grid, adam = self._lanes(documents, 100), Adam(self.p)
         rounds = epochs * max(1, (len(grid) - 1) // WINDOW)
         for _ in range(epochs):
             self._pass(grid, adam, lambda t: rate * (1 - 0.95 * t / rounds) if t < rounds else rate * 0.05)
@@ -184,10 +184,10 @@ class Network:
         """One pass over a lot of further documents."""
         self._pass(self._lanes(documents), adam, lambda t: RATE)
 
-    def _lanes(self, documents: list[np.ndarray]) -> np.ndarray:
+    def _lanes(self, documents: list[np.ndarray], windows: int = 4) -> np.ndarray:
         """Joined documents (each ends in the mark, from which the next one starts), cut into lanes, the last one filled up."""
         stream = np.concatenate([[MARK], *documents]).astype(np.int64)
-        lanes = max(1, min(LANES, len(stream) // (4 * WINDOW)))
+        lanes = max(1, min(LANES, len(stream) // (windows * WINDOW)))
         length = -(-(len(stream) - 1) // lanes)
         stream = np.append(stream, np.full(lanes * length + 1 - len(stream), FILL))
         # a lane's last token is the next one's first

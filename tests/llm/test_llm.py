@@ -516,14 +516,15 @@ def test_recurrent_score_by_brute_force(spark):
 
 def test_network_is_fitted_on_all_documents(spark):
     """What only documents outside the first sample show is learned too."""
-    docs = table(spark, [(i, "aa bb cc dd " * 60) for i in range(2000)]).repartition(2)
+    small = F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < int(0.1 * 2**31)  # those the first sample is taken from, and more
+    docs = table(spark, [(i, "") for i in range(2000)]).withColumn("text", F.when(small, F.lit("aa bb cc dd " * 60)).otherwise(F.lit("dd bb aa cc " * 60))).repartition(2)
     model, _ = recurrent.train(docs, fit_tokens=5000)
     assert model.n == 2000 * 241
-    ((_, _, _, (d,), _, _),) = recurrent.documents_of(pa.array(["aa bb cc dd " * 60]), model.known)
+    ((_, _, _, (seen, other), _, _),) = recurrent.documents_of(pa.array(["aa bb cc dd " * 60, "dd bb aa cc " * 60]), model.known)
     first = recurrent.Network()
-    first.start(np.bincount(d, minlength=recurrent.MARK + 1))
-    first.fit([d] * 21)
-    assert model.network.score([d])[0] > 0.9 * first.score([d])[0]
+    first.start(np.bincount(seen, minlength=recurrent.MARK + 1))
+    first.fit([seen] * 21)
+    assert model.network.score([other])[0] > 0.5 * first.score([other])[0]
 
 
 def test_words_are_those_of_the_plain_rule():
