@@ -7,9 +7,9 @@ pointer starts at the window's first word, each step reads the word under it and
 stays as a random bit of (repetition, step, word) says, so that few edits change few of the
 words read. Bit sampling keeps a few steps of each repetition as the hash; a window and an item
 that agree in any repetition are a candidate pair, and a pair is kept only if the exact edit
-distance confirms it. The number of repetitions follows from the target recall and from the
-rate at which items with the greatest allowed number of edits agree with themselves, which is
-measured on the items.
+distance confirms it. The number of repetitions follows, for each length of items, from the target
+recall and from the rate at which items of that length with the greatest allowed number of edits
+agree with themselves, which is measured on the items.
 
 Windows that cannot hold any item are not walked. This loses nothing: k edits of an item of L
 words leave at least L - (n - 1) - n k of its runs of n words, and one run of (L - k) / (k + 1),
@@ -19,10 +19,11 @@ must be one of an item of that length, and counts of shorter runs tell where eno
 Items are a query set of bounded blocks (``BLOCK_ITEMS``), each block a pass over the documents'
 words; documents are read whole, in place, without a shuffle.
 
-Defined cases: items of fewer than ``MIN_WORDS`` words are too short to identify and are never
-reported; null or empty texts hold nothing; a null doc_id is reported as null; repeated items
-are all reported; documents of a million words are searched whole; an empty benchmark or
-document table gives no rows. Ties of distance: the earliest position is reported.
+Defined cases: items of one to four words must stand there word for word; items without words, and
+null or empty texts, hold nothing; a null doc_id is reported as null; repeated items and rows are
+all reported; documents of a million words are searched whole; other columns are ignored, but kept
+by ``decontaminate``; an empty benchmark or document table gives no rows. Ties of distance: the
+earliest position is reported.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import math
 import random
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import words_of
 
-SIMILARITY, RECALL, MIN_WORDS = 0.8, 0.99, 5
+SIMILARITY, RECALL = 0.8, 0.99
 #: Items that travel to the tasks at once: at most about 10 MB.
 BLOCK_ITEMS = 20_000
 SAMPLED, STEPS_PER_WORD, SEED = 2, 2, 7
-#: Words searched at once.
-TOGETHER = 200_000
+#: Words searched at once, and walks (windows times repetitions) that go on together, about.
+TOGETHER, LANES = 200_000, 2_000_000
 EDGE = b".,;:!?\"'()[]{}<>#%*&$|-_"
 
 
@@ -96,12 +98,12 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Index:
     """Embeddings of one block of items under all repetitions."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float, recall: float):
+    def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float, recall: float, rates: dict[int, float] | None = None):
         self.similarity = similarity
         self.numbers: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         for item, words in items:
-            if len(words) >= MIN_WORDS:
+            if words:
                 self.items.append((item, np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int32)))
         self.by_length: dict[int, list[int]] = defaultdict(list)
         for i, (_, words) in enumerate(self.items):
@@ -113,14 +115,13 @@ class Index:
         for _, w in self.items:
             for n, table in self.runs.items():
                 self.has[n][np.searchsorted(table, self.grams(w, n)[0]), self.lengths.index(len(w))] = True
-        longest = max(self.by_length, default=0)
-        rng = np.random.default_rng(SEED)
-        self.most_steps = STEPS_PER_WORD * longest
-        self.rate = self._rate(rng, random.Random(SEED))
-        self.repetitions = 1 if self.rate >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - self.rate)))
-        # one bit a (repetition, word, step), 31 steps together; samples are fractions, so each length has its own steps
-        self.bits = self._bits(rng, self.repetitions)
-        self.samples = np.sort(rng.random((self.repetitions, SAMPLED)), 1)
+        # repetitions by length: the rate at which items with the most edits agree falls with it
+        rng, edits = np.random.default_rng(SEED), random.Random(SEED)
+        self.samples: dict[int, np.ndarray] = {}
+        self.rates = rates or {length: self._rate(length, edits) for length in self.lengths}
+        for length, rate in self.rates.items():
+            reps = 1 if rate >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - rate)))
+            self.samples[length] = np.sort(np.floor(rng.random((reps, SAMPLED)) * STEPS_PER_WORD * length).astype(np.int64), 1)
         self.tables = {length: self._table(length, rows) for length, rows in self.by_length.items()}
 
     def grams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,61 +136,62 @@ class Index:
         at = np.flatnonzero(ok)
         return code[at], at
 
-    def _bits(self, rng, repetitions: int) -> np.ndarray:
-        return rng.integers(0, 2**31, (repetitions, len(self.numbers) + 2, self.most_steps // 31 + 1), dtype=np.int32)
-
-    def walk(self, bits: np.ndarray, words: np.ndarray, begin: np.ndarray, length: int, wanted: np.ndarray) -> np.ndarray:
+    def walk(self, words: np.ndarray, begin: np.ndarray, length: int, wanted: np.ndarray) -> np.ndarray:
         """[sample, repetition, window]: words read at the wanted steps (rows: repetitions) of walks over windows of ``length`` words.
 
         All windows advance together under all repetitions. A pointer beyond its window's end reads
-        -1; words must go on for as many more as there are steps.
+        -1; words must go on for as many more as there are steps. The random bit of (repetition, step,
+        word) is one of the mixed product of word and a number of (repetition, step), so nothing is
+        stored for it, however long the items are.
         """
-        reps, size, _ = bits.shape
-        at = np.tile(begin.astype(np.int32), reps)
-        base = np.repeat(np.arange(reps, dtype=np.int32) * size, len(begin))
+        reps = len(wanted)
+        at = np.tile(begin.astype(np.int64), reps)
+        turn = np.repeat(np.arange(1, reps + 1, dtype=np.uint32) * np.uint32(0x85EBCA6B), len(begin))
         due = defaultdict(list)
         for r, k in np.ndindex(*wanted.shape):
             due[int(wanted[r, k])].append((k, r))
         out = np.empty((wanted.shape[1], reps, len(begin)), np.int64)
-        plane = None
         for step in range(int(wanted.max()) + 1):
             read = words.take(at)
             for k, r in due.get(step, ()):
                 lanes = slice(r * len(begin), (r + 1) * len(begin))
                 out[k, r] = np.where(at[lanes] < begin + length, read[lanes], -1)
-            if step % 31 == 0:
-                plane = np.ascontiguousarray(bits[:, :, step // 31]).reshape(-1)
-            read += base
-            move = plane.take(read)
-            move >>= step % 31
-            move &= 1
-            at += move
+            x = read.astype(np.uint32)
+            x += np.uint32((step * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF)
+            x *= np.uint32(0xC2B2AE35)
+            x ^= x >> np.uint32(15)
+            x += turn
+            x *= np.uint32(0x27D4EB2F)
+            x ^= x >> np.uint32(13)
+            x *= np.uint32(0x9E3779B1)
+            at += x >> np.uint32(31)
         return out
 
     def hashes(self, words: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
         """One row a repetition: hash of the sampled steps of the windows that begin there."""
-        wanted = (self.samples * STEPS_PER_WORD * length).astype(np.int64)
-        read = self.walk(self.bits, words, begin, length, wanted)
+        read = self.walk(words, begin, length, self.samples[length])
         out = np.zeros(read.shape[1:], np.int64)
         for rows in read:
             out = out * (len(self.numbers) + 2) + rows + 1
         return out
 
     def _table(self, length: int, rows: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        words = np.concatenate([*(self.items[i][1] for i in rows), np.zeros(self.most_steps, np.int32)])
+        words = np.concatenate([*(self.items[i][1] for i in rows), np.zeros(STEPS_PER_WORD * length, np.int32)])
         h = self.hashes(words, np.arange(len(rows)) * length, length)
         order = np.argsort(h, axis=1, kind="stable")
         return [(x[o], np.array(rows)[o]) for x, o in zip(h, order)]
 
-    def _rate(self, rng, edits: random.Random) -> float:
-        """Share of (item with the most allowed edits, repetition) that agree in the sampled steps."""
-        if not self.items:
+    def _rate(self, length: int, edits: random.Random, trials: int = 200) -> float:
+        """Share of repetitions in which items of this length agree with themselves under the most edits allowed; a lower estimate."""
+        k = edits_allowed(length, self.similarity)
+        if not k:
             return 1.0
-        bits, trials, agree = self._bits(rng, 1), 0, 0
-        picked = [self.items[i % len(self.items)][1] for i in range(max(200, min(2000, len(self.items))))]
-        for words in picked:
+        rows = self.by_length[length]
+        pairs = []
+        for i in range(trials):
+            words = self.items[rows[i % len(rows)]][1].tolist()
             changed = list(words)
-            for _ in range(edits_allowed(len(words), self.similarity)):
+            for _ in range(k):
                 kind, at = edits.randrange(3), edits.randrange(max(1, len(changed)))
                 if kind == 0:
                     changed[at] = 0
@@ -197,13 +199,19 @@ class Index:
                     changed.insert(at, 0)
                 elif len(changed) > 1:
                     del changed[at]
-            wanted = np.sort(np.floor(rng.random((8, SAMPLED)) * STEPS_PER_WORD * len(words)).astype(np.int64), 1)
-            steps, rest = np.unique(wanted), [0] * (self.most_steps + len(words))
-            a, b = (self.walk(bits, np.array([*x, *rest], np.int32), np.zeros(1, np.int64), len(words), steps[None, :])[:, 0, 0] for x in (words, changed))
-            same = dict(zip(steps.tolist(), (a == b).tolist()))
-            agree += sum(all(same[s] for s in w) for w in wanted.tolist())
-            trials += 8
-        return max(agree / trials, 0.01)
+            pairs.append((words, changed))
+        wanted = np.sort(np.floor(np.random.default_rng(SEED + length).random((16, SAMPLED)) * STEPS_PER_WORD * length).astype(np.int64), 1)
+        reads = []
+        for side in (0, 1):
+            size = (STEPS_PER_WORD + 2) * length + k
+            words = np.zeros(size * trials, np.int32)
+            for i, p in enumerate(pairs):
+                words[i * size : i * size + len(p[side])] = p[side]
+            reads.append(self.walk(words, np.arange(trials) * size, length, wanted))
+        agree = (reads[0] == reads[1]).all(0).sum()
+        # two standard errors below what was seen, so that the repetitions are not too few
+        rate = agree / (16 * trials)
+        return max(rate - 2 * math.sqrt(rate * (1 - rate) / trials), 1 / (16 * trials))
 
     def _known(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the words have a run of n that some item has, and the number of that run."""
@@ -252,7 +260,7 @@ class Index:
         first = np.concatenate([[0], np.cumsum([len(t) + len(gap) for t in texts])])
         near: dict[tuple[int, int], set[int]] = defaultdict(set)
         for length, starts in self.windows(words):
-            for lot in np.array_split(starts, -(-len(starts) // 20_000)):
+            for lot in np.array_split(starts, -(-len(starts) * len(self.samples[length]) // LANES)):
                 for h, (table, rows) in zip(self.hashes(words, lot, length), self.tables[length]):
                     lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
                     hit = hi > lo
@@ -291,55 +299,78 @@ def _merged(starts: list[int], before: int, after: int, n: int) -> Iterator[tupl
         yield lo, hi
 
 
+def _numbered(texts: pa.Array, number: _Normal) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first, last, words as numbers) of slices of a column of about TOGETHER words."""
+    lo, out, count = 0, [], 0
+    for k, text in enumerate(texts):
+        raw = words_of(text.as_py())
+        words = np.fromiter(map(number.__getitem__, raw), np.int32, len(raw))
+        out.append(words[words >= 0])
+        count += len(words)
+        if count >= TOGETHER:
+            yield lo, k + 1, out
+            lo, out, count = k + 1, [], 0
+    if out:
+        yield lo, len(texts), out
+
+
+def _shared(docs: DataFrame, items: list[tuple[int, list[bytes]]], similarity: float, recall: float):
+    """What a task builds its index from: at most BLOCK_ITEMS items, and the rates, which are measured once."""
+    return docs.sparkSession.sparkContext.broadcast((items, similarity, recall, Index(items, similarity, recall).rates))
+
+
 def _pass(docs: DataFrame, items: list[tuple[int, list[bytes]]], similarity: float, recall: float) -> DataFrame:
     fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edit_distance", pa.int32()), ("item_words", pa.int32()), ("end_word", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_ITEMS
+    shared = _shared(docs, items, similarity, recall)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, similarity, recall)
+        index = Index(*shared.value)
         number = _Normal(index.numbers)
-        def found(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-            rows = [(ids[k], *x) for k, *x in index.search(texts)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
-
-        ids, texts, count = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = words_of(text.as_py())
-                words = np.fromiter(map(number.__getitem__, raw), np.int32, len(raw))
-                ids.append(doc)
-                texts.append(words[words >= 0])
-                count += len(words)
-                if count >= TOGETHER:
-                    yield found(ids, texts)
-                    ids, texts, count = [], [], 0
-        if ids:
-            yield found(ids, texts)
+            ids = batch.column(0).to_pylist()
+            for lo, _, texts in _numbered(batch.column(1), number):
+                rows = [(ids[lo + k], *x) for k, *x in index.search(texts)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
 
     return docs.mapInArrow(run, "doc_id bigint, item_id bigint, edit_distance int, item_words int, end_word bigint")
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items with at least a word, in blocks of BLOCK_ITEMS; one empty block if there are none."""
+    block, any_ = [], False
+    for row in benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null").toLocalIterator():
+        block.append((row.item_id, normal_words(row.text)))
+        if len(block) == BLOCK_ITEMS:
+            yield block
+            block, any_ = [], True
+    if block or not any_:
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, edit_distance, item_words, end_word: the items that each document holds, best stretch each."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
-    out = None
-    block: list[tuple[int, list[bytes]]] = []
-    for row in items.toLocalIterator():
-        block.append((row.item_id, normal_words(row.text)))
-        if len(block) == BLOCK_ITEMS:
-            part = _pass(docs, block, similarity, recall)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _pass(docs, block, similarity, recall)
-        out = part if out is None else out.unionByName(part)
-    return out
+    passes = [_pass(docs, block, similarity, recall) for block in _blocks(benchmark)]
+    return reduce(DataFrame.unionByName, passes)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs that hold no benchmark item, all columns; rows without doc_id stay unless they hold one."""
-    from .common import materialise
+    """The rows of docs that hold no benchmark item, all columns. Every row is judged by its own text, whatever its doc_id."""
+    text = docs.columns.index("text")
+    out = docs
+    for block in _blocks(benchmark):
+        out = out.mapInArrow(_without(_shared(docs, block, similarity, recall), text), docs.schema)
+    return out
+
+
+def _without(shared, text: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*shared.value)
+        number = _Normal(index.numbers)
+        for batch in batches:
+            bad = np.zeros(len(batch), bool)
+            for lo, hi, texts in _numbered(batch.column(text), number):
+                bad[[lo + k for k, *_ in index.search(texts)]] = True
+            yield batch.filter(pa.array(~bad))
 
-    found = materialise(contaminated(docs, benchmark, similarity, recall).select("doc_id").distinct(), "contaminated")
-    few = found.count() <= 4_000_000
-    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti")
+    return run

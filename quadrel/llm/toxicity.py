@@ -8,12 +8,15 @@ under channel and character model. The restored text is scored by a logistic mod
 and word beginnings, chosen by likelihood ratio and fitted on labelled documents whose
 crc32(doc_id) mod 5 is not 0, at most ``FIT_DOCS`` of them (the smallest by hash).
 
-Only text is an input of a score. Chunks are decoded once and remembered up to a bound.
+Only text is an input of a score. Chunks are decoded once and remembered up to a bound. A chunk of
+letters without three equal ones in a row is its own likeliest reading, as its lattice offers no
+other, so it is taken as it stands. The number of features follows the labelled texts, which are
+bounded.
 
 Defined cases: null, empty or white text scores the intercept; chunks and runs of single letters
 of every length are decoded whole, chunks over ``LONGEST`` characters also piece by piece between
 their separators, as no word is that long; a null doc_id is not held out; null
-labels are left out; repeated rows are scored each; without labels of both kinds every score is
+labels are left out; other columns are ignored, but kept by ``drop_toxic``; repeated rows are scored each; without labels of both kinds every score is
 the share of toxic labels, or 0.5 without any; an empty table gives no rows.
 """
 
@@ -28,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-FIT_DOCS, FEATURES, LONGEST = 20_000, 1_500, 24
+FIT_DOCS, LONGEST = 20_000, 24
 # What a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
 DROPPED = set(".-_*'~/\\,:;·•^=")
@@ -177,8 +180,7 @@ class Restorer:
         pieces = SEPARATORS.split(bare) if len(chunk) > LONGEST else []
         if len(pieces) > 1:
             read += [w for piece in pieces if len(piece) > 2 for w in self.words(piece)]
-        joined = "".join(c for c in bare if c not in DROPPED)
-        return tuple(dict.fromkeys(w for w in (*read, joined) if w))
+        return tuple(dict.fromkeys(w for w in read if w))
 
     def text(self, text: str | None) -> set[str]:
         """Distinct restored words of a text; runs of single characters also as the words they spell."""
@@ -187,8 +189,7 @@ class Restorer:
         for chunk in set(low.split()):
             out.update(self.words(chunk))
         for m in SINGLES.finditer(low):
-            spelt = "".join(m[0].split())
-            out.update(w for w in (*decode(m[0].replace("\t", " "), self.model).split(), spelt, spelt[1:], spelt[:-1]) if len(w) > 2)
+            out.update(w for w in decode(m[0].replace("\t", " "), self.model).split() if len(w) > 2)
         return out
 
 
@@ -237,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[np.nd
     least = max(3, toxic // 400)
     p1, p0 = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
     ratio = F.col("toxic") * F.log(p1 / p0) + (toxic - F.col("toxic")) * F.log((1 - p1) / (1 - p0))
-    chosen = [r["f"] for r in found.filter((F.col("f") != "") & (F.col("toxic") >= least) & (p1 > 3 * p0)).orderBy(F.desc(ratio), "f").limit(FEATURES).collect()]
+    chosen = [r["f"] for r in found.filter((F.col("f") != "") & (F.col("toxic") >= least) & (p1 > 3 * p0)).orderBy(F.desc(ratio), "f").collect()]  # of at most FIT_DOCS texts
     index = {f: i for i, f in enumerate(chosen)}
 
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,37 +270,57 @@ def _logistic(at: np.ndarray, on: np.ndarray, y: np.ndarray, size: int, rounds:
     return w, float(b)
 
 
+class Scorer:
+    """Score of whole texts by a fitted model; what it remembers is bounded."""
+
+    def __init__(self, counts: np.ndarray, weights: dict[str, float], intercept: float):
+        self.restore, self.weights, self.intercept, self.hits = Restorer(CharModel(counts)), weights, intercept, {}
+
+    def __call__(self, text: str | None) -> float:
+        on: set[str] = set()
+        for w in self.restore.text(text):
+            found = self.hits.get(w)
+            if found is None:
+                if len(self.hits) > 100_000:
+                    self.hits.clear()
+                found = self.hits[w] = tuple(f for f in beginnings(w) if f in self.weights)
+            on.update(found)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + sum(self.weights[f] for f in sorted(on))))))
+
+
 def score(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
-    counts, weights, intercept = fit(docs, labels, most)
+    model = fit(docs, labels, most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = Restorer(CharModel(counts))
-        hits: dict[str, tuple[str, ...]] = {}
+        of = Scorer(*model)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                z = set()
-                for w in restore.text(text.as_py()):
-                    h = hits.get(w)
-                    if h is None:
-                        if len(hits) > 100_000:
-                            hits.clear()
-                        h = hits[w] = tuple(f for f in beginnings(w) if f in weights)
-                    if h:
-                        z.update(h)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, intercept + sum(weights[f] for f in sorted(z)))))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def restored(docs: DataFrame) -> DataFrame:
+    """doc_id, restored of every row of docs: its distinct restored words in order of the alphabet, parted by spaces."""
+    counts = trigram_counts(docs)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restore = Restorer(CharModel(counts))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(restore.text(t.as_py()))) for t in batch.column(1)], pa.string())], ["doc_id", "restored"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, restored string")
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame:
-    """The rows of docs not predicted toxic, all columns; rows without doc_id stay."""
-    from .common import materialise
+    """The rows of docs not predicted toxic, all columns. Every row is judged by its own text, whatever its doc_id."""
+    model, text = fit(docs, labels, most), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Scorer(*model)
+        for batch in batches:
+            yield batch.filter(pa.array([of(t.as_py()) < 0.5 for t in batch.column(text)], pa.bool_()))
 
-    bad = materialise(score(docs, labels, most).filter("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic")
-    few = bad.count() <= 4_000_000
-    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti")
+    return docs.mapInArrow(run, docs.schema)

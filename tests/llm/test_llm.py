@@ -67,15 +67,47 @@ def test_decontamination(spark):
         a = np.array([words.get(w.decode(), 0) for w in decontaminate.normal_words(t)], np.int32)
         for i, text in items:
             b = np.array([words[w.decode()] for w in decontaminate.normal_words(text)], np.int32)
-            if len(b) >= decontaminate.MIN_WORDS and len(a):
+            if len(b) and len(a):
                 dist = decontaminate.best_stretch(b, a)[0]
                 if dist <= decontaminate.edits_allowed(len(b)):
                     want[d, i] = dist
     assert len(want) >= 40 and all(want.get(k) == v for k, v in got.items()) and len(got) >= 0.95 * len(want)
-    kept = {x.doc_id for x in decontaminate.decontaminate(table(spark, docs), bench).collect()}
-    assert {200, 201} <= kept and not kept & {d for d, _ in got if d is not None}
+    # rows are judged one by one: null and repeated ids, columns of other names
+    more = [*docs, (7000, "w1 w2 and more"), (7000, "clean"), (None, "clean too"), (7001, items[0][1] + " x" * 200_000), (7001, items[0][1] + " x" * 200_000)]
+    named = table(spark, more).withColumn("item_id", F.lit(1)).withColumn("edit_distance", F.lit("x"))
+    kept = sorted((x.doc_id or -1, x.text or "") for x in decontaminate.decontaminate(named, bench).collect())
+    dirty = {(d or -1, t or "") for d, t in docs if any(k == d for k, _ in got)}
+    assert kept == sorted((d or -1, t or "") for d, t in more if (d or -1, t or "") not in dirty and not (t or "").startswith(("w1 w2 and", items[0][1])))
+    assert decontaminate.decontaminate(named, bench).columns == named.columns
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(table(spark, docs), none).isEmpty() and decontaminate.contaminated(table(spark, []), bench).isEmpty()
+    assert decontaminate.decontaminate(named, none).count() == len(more)
+
+
+@pytest.mark.parametrize("length", [1, 4, 6, 20, 60, 150, 300])
+def test_recall_by_length(length):
+    """Items of every length, among items of all lengths, are found with the most edits allowed."""
+    r = random.Random(length)
+    lengths = [1, 4, 6, 20, 60, 150, 300]
+    items = [(i, [f"v{r.randrange(5000)}".encode() for _ in range(lengths[i % 7])]) for i in range(140)]
+    index = decontaminate.Index(items, 0.8, 0.99)
+    number = decontaminate._Normal(index.numbers)
+    texts, held = [], []
+    for k in range(200):
+        i, w = items[lengths.index(length) + 7 * (k % 20)]
+        w = list(w)
+        for _ in range(decontaminate.edits_allowed(length)):
+            at, kind = r.randrange(len(w)), r.randrange(3)
+            if kind == 0:
+                w[at] = b"other"
+            elif kind == 1:
+                w.insert(at, b"more")
+            else:
+                del w[at]
+        texts.append(np.array([number[x] for x in [b"pre"] * r.randrange(9) + w], np.int32))
+        held.append(i)
+    found = {(t, i) for t, i, *_ in index.search(texts)}
+    assert sum((t, i) in found for t, i in enumerate(held)) >= 0.97 * len(held)
 
 
 def test_embedding_recall():
