@@ -425,6 +425,133 @@ def test_url_templates_reject(spark):
     assert all(got[i] == "block" for i in range(10, 45)) and all(got[100 + i] == "allow" for i in range(10, 45))
 
 
+def plain_urls(rows, rules):
+    """(template, purity, verdict) of every page by the same rules of the tree, in plain Python."""
+    import re
+    from collections import Counter, defaultdict
+
+    variable = re.compile(urls.VARIABLE)
+    n, label = Counter(), {}
+    for _, url in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        key = (m[1].lower(), m[2]) if m else ("", "")
+        n[key] += 1
+        fits = [(len(r), v) for v, r in rules for h, _, p in [r.partition("/")] if (key[0] == h or key[0].endswith("." + h)) and key[1].startswith("/" + p)]
+        label[key] = max(fits)[1] if fits else None
+    steps, depth = {}, {}
+
+    def grow(host, node, keys, level):
+        if len(keys) <= urls.FEW:
+            for k in keys:
+                segs = [s for s in k[1].split("/") if s][level:]
+                steps[k], depth[k] = (*node, *("/*" if variable.match(s) else "/" + s for s in segs)), level
+            return
+        below = defaultdict(list)
+        for k in keys:
+            segs = [s for s in k[1].split("/") if s]
+            if len(segs) <= level:
+                steps[k] = node
+                depth[k] = level
+            else:
+                below[segs[level]].append(k)
+        total = sum(n[k] for b in below.values() for k in b)
+        nxt = defaultdict(list)
+        for s, b in below.items():
+            size = sum(n[k] for k in b)
+            literal = not variable.match(s) and (len(below) <= urls.FEW or size >= urls.LEAST and size >= urls.COMMON * total)
+            nxt["/" + s if literal else "/*"] += b
+        for s, b in nxt.items():
+            grow(host, (*node, s), b, level + 1)
+
+    for host in {k[0] for k in n}:
+        grow(host, (), [k for k in n if k[0] == host], 0)
+    count, after = defaultdict(lambda: [0, 0, 0]), defaultdict(Counter)
+    for k, st in steps.items():
+        for lv in [*range(depth[k] + 1), *[len(st)] * (len(st) > depth[k])]:
+            c = count[k[0], st[:lv]]
+            c[0] += n[k]
+            c[1] += n[k] * (label[k] == "block")
+            c[2] += n[k] * (label[k] is not None)
+            after[k[0], st[:lv]][st[lv] if lv < len(st) else ""] += n[k]
+    prior = sum(n[k] for k in n if label[k] == "block") / max(1, sum(n[k] for k in n if label[k]))
+    families = defaultdict(list)
+    inner = {(k[0], st[:lv]) for k, st in steps.items() for lv in range(depth[k] + 1)}
+    for h, node in inner:
+        if node and node[-1] != "/*":
+            families[h, node[:-1]].append(node)
+    pool, merged = {}, set()
+    for (h, parent), kids in families.items():
+        every = Counter()
+        for k in kids:
+            every.update(after[h, k])
+        total, bad, lab = (sum(count[h, k][i] for k in kids) for i in range(3))
+        df = len(every) - 1
+        for k in kids:
+            size, b, lb = count[h, k]
+            chi = sum(x * x * total / (size * every[s]) for s, x in after[h, k].items()) - size
+            z, rl = 0.0, lab - lb
+            if lb and rl and 0 < bad < lab:
+                p = bad / lab
+                z = abs(b / lb - (bad - b) / rl) / (p * (1 - p) * (1 / lb + 1 / rl)) ** 0.5
+            if chi <= df + 2 * (2 * df) ** 0.5 + 1e-9 and z < urls.DIFFERENT:
+                merged.add((h, k))
+        mine = [k for k in kids if (h, k) in merged]
+        pool[h, parent] = [sum(count[h, k][i] for k in mine) for i in (1, 2)]
+    out = {}
+    for i, url in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        key = (m[1].lower(), m[2]) if m else ("", "")
+        st, p = steps[key], prior
+        last = -1
+        for lv in [*range(depth[key] + 1), *[len(st)] * (len(st) > depth[key])]:
+            node = (key[0], st[:lv])
+            if count[node][0] == last:
+                continue
+            last = count[node][0]
+            b, lb = pool[key[0], st[: lv - 1]] if node in merged else (0, 0)
+            p = (b + 4 * p) / (lb + 4)
+            p = (count[node][1] + 4 * p) / (count[node][2] + 4)
+        out[i] = ("".join(st), round(p, 9), label[key] or ("block" if p >= urls.REJECT and count[key[0], ()][2] else "allow"))
+    return out
+
+
+def test_url_tree_by_brute_force(spark):
+    r = random.Random(3)
+    rules = (*urls.RULES, ("block", "h.org/es/"), ("allow", "h.org/help/"))
+    rows = []
+    for i in range(900):
+        lang, kind = r.choice(["en", "es", "fr", "de"]), r.choice(["news", "tag", "item"])
+        host = r.choice(["h.org", "a.net", "b.net", "c.org"])
+        rows.append((i, f"http://{host}/{lang}/{kind}/{r.choice(['x', 'y', r.randrange(500), 'name%d' % r.randrange(300)])}"))
+    rows += [(1000 + i, f"http://h.org/help/q{i % 30}/deep" + "/d" * (i % 40)) for i in range(200)]
+    rows += [(2000, None), (2001, "x"), (2002, "http://h.org"), (2003, "http://h.org//es//"), (2003, "http://h.org//es//"), (2004, "http://long.org/" + "ab/" * 20_000), (2005, "http://h.org/es/news/12345?q")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("template", F.lit(1)).withColumn("n", F.lit("x"))
+    got = urls.filter_urls(pages, rules).collect()
+    want = plain_urls(rows, rules)
+    assert len(got) == len(rows)
+    assert {x.page_id: (x.template, round(x.purity, 9), x.verdict) for x in got} == want
+    # branches without labels get a verdict from those they are like
+    assert any(x.rule is None and x.verdict == "block" and x.host == "a.net" and "/en/" in x.path for x in got)
+    assert all(x.verdict == "allow" for x in got if x.host == "c.org")
+
+
+def test_url_hosts_and_rules_by_sql(spark, tmp_path):
+    """Host, path and rule as DuckDB finds them."""
+    import duckdb
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["http", "HTTPS", ""]) + r.choice(["://", ":/", "://"]) + r.choice(["www.Example.com", "m.example.com", "x.net", "net", "a.org", ""]) + r.choice(["", "/", "/en/", "/es/q", "?x=://b/c", "#f", "/en/a?b#c"])) for i in range(300)] + [(999, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((x.page_id, x.host, x.path, x.rule or "") for x in urls.filter_urls(pages).collect())
+    rules = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '/{p}') THEN '{h}/{p}'" for _, rule in sorted(urls.RULES, key=lambda x: -len(x[1])) for h, _, p in [rule.partition("/")])
+    sql = f"""
+WITH m AS (SELECT page_id, regexp_extract(url, '^[\\s\\S]*?://([^/?#]*)([^?#]*)', ['h', 'p']) AS x FROM '{tmp_path}/pages.parquet/*.parquet'),
+p AS (SELECT page_id, lower(coalesce(x.h, '')) AS host, coalesce(x.p, '') AS path FROM m)
+SELECT page_id, host, path, coalesce(CASE {rules} END, '') FROM p"""
+    assert got == sorted(duckdb.sql(sql).fetchall())
+
+
 # -- language model ------------------------------------------------------------------------------
 
 
