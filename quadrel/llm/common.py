@@ -12,7 +12,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
@@ -27,7 +26,10 @@ BATCH_ROWS = 2_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package and keep Arrow batches of whole texts small; a smaller setting of the session stays."""
+    """Ship the package and keep Arrow batches of whole texts small; a smaller setting of the session stays.
+
+    Plans run after this call returns, so the setting stays with the session.
+    """
     ship(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) > BATCH_ROWS:
@@ -40,10 +42,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset and all run on this machine, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"file://{tempfile.gettempdir()}/quadrel-shared"
     os.makedirs(own.removeprefix("file://"), exist_ok=True)
     return own
@@ -79,18 +83,6 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int =
     return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    bound = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
@@ -104,19 +96,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(words: list[bytes], size: int, memo: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; fewer words than size: the whole sequence as one; none: empty."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    out = np.full(n, min(size, len(h)), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(min(size, len(h))):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
-
-
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b); component is the smallest node.
 

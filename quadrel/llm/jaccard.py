@@ -18,7 +18,9 @@
 
 Defined cases: null or empty text, or only white space: the empty set, linked with nothing;
 fewer words than a shingle: the whole sequence as one; repeated rows and ties are equal sets;
-null doc_id: left out of all links, its component is null; an empty table gives no rows.
+null doc_id: left out of all links, its component is null; rows that share a doc_id are told apart by
+their sets, and ``keep_one`` keeps those of the smallest doc_id of a component; very long texts are
+read whole; other columns are ignored, but kept by ``keep_one``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHash, connected_components, keep_ids, materialise, shingle_set, words_of
+from .common import connected_components, keep_ids, materialise, mix64
+from .words import Words, lots
 
 #: Shingles that a task gathers before it sends them off; documents likewise (their index has 16 bits).
 FLUSH_SHINGLES, FLUSH_DOCS = 1_500_000, 60_000
 #: Share of a flush's documents from which a shingle may be very common, and how many such are kept.
 COMMON_SHARE, COMMON_MOST = 0.01, 65_536
-#: Shingles in one block of the product.
-BLOCK_SHINGLES = 600_000
+#: Shingles and sets in one block of the product.
+BLOCK_SHINGLES, BLOCK_SETS = 600_000, 2_000
 
 
 def prefix_length(n: int, t: Fraction) -> int:
@@ -52,12 +55,43 @@ def _as_ratio(similarity: float | str | Fraction) -> Fraction:
     return Fraction(str(similarity))
 
 
+def sets_of(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text; fewer words than size: the whole sequence as one; none: empty."""
+    for _, _, words in lots(texts):
+        long, short = _hashes(words, size), {}
+        for i in np.flatnonzero((np.diff(words.ends, prepend=0) < size) & (np.diff(words.ends, prepend=0) > 0)).tolist():
+            h = words.hash[words.of(i)]
+            out = np.full(1, len(h), np.uint64)
+            with np.errstate(over="ignore"):
+                for x in h:
+                    out = mix64(out * _STEP + x)
+            short[i] = out
+        begin = 0
+        for i, end in enumerate(words.ends.tolist()):
+            yield short[i] if i in short else np.unique(long[begin : max(begin, end - size + 1)])
+            begin = end
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(words: Words, size: int) -> np.ndarray:
+    """Hash of the shingle that begins at each word, over the ends of texts too."""
+    h = words.hash
+    n = max(0, len(h) - size + 1)
+    out = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = mix64(out * _STEP + h[i : i + n])
+    return out
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """kind 0: doc_id, n, digest of every document's set; kind 1: shingle (as doc_id), n documents of common ones."""
     fields = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, count, docs_held = WordHash(), [], 0, 0
+        held, count, docs_held = [], 0, 0
 
         def common() -> pa.RecordBatch:
             kinds, n = np.unique(np.concatenate(held), return_counts=True)
@@ -67,8 +101,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for i, doc in enumerate(ids):
-                s = shingle_set(words_of(batch.column(1)[i].as_py()), size, memo)
+            for doc, s in zip(ids, sets_of(batch.column(1), size)):
                 out.append((0, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None))
                 held.append(s)
                 count, docs_held = count + len(s), docs_held + 1
@@ -89,7 +122,7 @@ def _send(docs: DataFrame, size: int, parts: int, common: np.ndarray, t: Fractio
     num, den = t.numerator, t.denominator
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, ids, sets, count, k = WordHash(), [], [], 0, 0
+        ids, sets, count, k = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal k
@@ -121,9 +154,7 @@ def _send(docs: DataFrame, size: int, parts: int, common: np.ndarray, t: Fractio
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[lo : lo + 500]), fields)], schema=fields)
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for i, doc in enumerate(names):
-                s = shingle_set(words_of(batch.column(1)[i].as_py()), size, memo)
+            for doc, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size)):
                 if not len(s):
                     continue
                 ids.append(doc)
@@ -197,7 +228,7 @@ def _prefixes(t: Fraction):
 def candidates(reps: DataFrame, size: int, t: Fraction, common: np.ndarray, shingles: int) -> DataFrame:
     """rep, shingle, n: shingles in prefixes that other prefixes may hold too."""
     spark = reps.sparkSession
-    parts = int(min(60_000, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 2_000_000)))
+    parts = int(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 2_000_000))
     sent = _send(reps, size, parts, common, t)
     # notes pass through the tasks of the hash ranges, so that one read of the texts and one shuffle serve both
     back = sent.groupBy("to").applyInPandas(_shared, "flush string, docs binary, shingles binary, extra binary")
@@ -207,9 +238,8 @@ def candidates(reps: DataFrame, size: int, t: Fraction, common: np.ndarray, shin
 
 def _block_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for batch in batches:
-            rows = [(i, shingle_set(words_of(t), size, memo).tobytes()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [(i, s.tobytes()) for i, s in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size))]
             for lo in range(0, len(rows), 200):
                 part = rows[lo : lo + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["rep", "members"])
@@ -288,7 +318,7 @@ def verified_links(reps: DataFrame, prefixes: DataFrame, size: int, t: Fraction)
     sizes = prefixes.select("rep", "n").distinct()
     member = classes.join(sizes, "rep").withColumn("band", band_of(F.col("n"), t))
     member = materialise(member, "members")
-    spread = member.groupBy("class", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    spread = member.groupBy("class", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     above = spread.select("class", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
     below = spread.select("class", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
     m = member.join(spread, ["class", "band"]).join(above, ["class", "band"], "left").join(below, ["class", "band"], "left")
@@ -323,7 +353,9 @@ def link_documents(docs: DataFrame, size: int = 5, similarity: float | str | Fra
     links = materialise(verified_links(reps, prefixes, size, t), "links")
     parts = connected_components(links, "linked").select(F.col("node").alias("rep"), "component")
     rep_of = by_set.select("digest", "rep").join(parts, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(rep_of, "digest", "left")
+    # empty sets, of which there may be very many, have no digest and join nothing
+    none = sets.filter("digest is null").withColumn("component", F.lit(None).cast("bigint"))
+    out = sets.filter("digest is not null").join(rep_of, "digest", "left").unionByName(none)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

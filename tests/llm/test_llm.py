@@ -376,6 +376,51 @@ def test_toxicity_of_long_chunks():
     assert "idiot" in restore.text("x9-" * 20_000 + "idiot")
 
 
+def test_viterbi_by_brute_force():
+    """The decoded text is the likeliest of all readings of the lattice."""
+    from itertools import product
+
+    r = random.Random(1)
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    s = np.concatenate([[0, 0], toxicity.symbols(" ".join(r.choice(["idiot", "moron", "late", "best", "see", "all"]) for _ in range(3000))), [0]])
+    np.add.at(counts, (s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], 1)
+    model = toxicity.CharModel(counts)
+
+    def cost(reading):
+        x = y = 0
+        total = 0.0
+        for text, channel in reading:
+            total += channel
+            for c in text:
+                z = int(toxicity.symbols(c)[0])
+                total += model.log[x][y][z]
+                x, y = y, z
+        return total
+
+    for chunk in ["1d10t", "m.0.r0n", "l4te", "b3$t", "seee", "a||", "i-d-i", "**t", "m  o r", "", "x"]:
+        readings = [[*p, (" ", 0.0)] for p in product(*toxicity.lattice(chunk))]
+        best = max(map(cost, readings))
+        got = toxicity.decode(chunk, model)
+        assert any(abs(cost(x) - best) < 1e-9 and "".join(t for t, _ in x).strip() == got for x in readings), chunk
+    assert toxicity.decode("1d10t", model) == "idiot"
+
+
+def test_drop_toxic_judges_rows(spark):
+    """Null and repeated ids, empty and very long texts, columns of other names: only toxic rows go."""
+    clean, bad = "the quick brown fox jumps over lazy dogs", "the quick 1d10t jumps over lazy dogs"
+    rows = [(i, f"{(bad if i % 2 else bad.replace('1d10t', 'idiot')) if i % 3 == 0 else clean} n{i}") for i in range(300)]
+    more = [(None, bad), (None, clean), (7, bad + " again"), (7, clean), (8, clean), (8, clean), (9, None), (10, ""), (11, "fox " * 300_000 + "i d i o t"), (12, "fox " * 300_000)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    docs = table(spark, [*rows, *more]).withColumn("score", F.lit("s")).withColumn("toxic", F.lit(9))
+    kept = toxicity.drop_toxic(docs, lab)
+    assert kept.columns == docs.columns
+    got = sorted((x.doc_id if x.doc_id is not None else -1, len(x.text or "")) for x in kept.collect())
+    assert got == sorted((-1 if i is None else i, len(t or "")) for i, t in [*rows, *more] if not any(w in (t or "") for w in ("1d10t", "idiot", "i d i o t")))
+    assert toxicity.drop_toxic(docs.limit(0), lab).isEmpty()
+    back = {x.doc_id: x.restored for x in toxicity.restored(table(spark, [(901, "the 1d10t"), (902, None), *rows])).collect()}
+    assert "idiot" in back[901].split() and back[902] == ""
+
+
 # -- exact dedup ---------------------------------------------------------------------------------
 
 
@@ -403,6 +448,29 @@ def test_exact_dedup_streams(spark, corpus):
     assert exact_dedup.groups(table(spark, [])).isEmpty()
 
 
+def test_exact_dedup_goes_on(spark, tmp_path):
+    """A second call meets what the first retained, and compares with its rows in full even under one-digit keys."""
+    for digest in (64, 1):
+        state = f"file://{tmp_path}/state{digest}"
+        first = [(i, f"text {i % 7}") for i in range(20)]
+        second = [(100, "text 3"), (101, "new"), (None, "new"), (3, "new 2"), (102, "text  3")]
+        spark.createDataFrame(first, "doc_id bigint, text string").write.parquet(f"{tmp_path}/a{digest}")
+        spark.createDataFrame(second, "doc_id bigint, text string").write.parquet(f"{tmp_path}/b{digest}")
+        one = exact_dedup.groups(spark.read.parquet(f"{tmp_path}/a{digest}"), digest, state_dir=state).collect()
+        assert sorted((x.doc_id, x.keep_id) for x in one) == [(i, i % 7) for i in range(20)]
+        two = exact_dedup.groups(spark.read.parquet(f"{tmp_path}/b{digest}"), digest, state_dir=state).collect()
+        assert sorted((str(x.doc_id), x.keep_id, x.group_size, x.kept) for x in two) == [("100", 3, 5, False), ("101", 101, 2, True), ("102", 3, 5, False), ("3", 3, 1, True), ("None", 101, 2, False)]
+
+
+def test_exact_dedup_keeps_rows_whole(spark):
+    rows = [(None, "a", 1, "x"), (None, "a", 1, "x"), (1, None, 2, "y"), (2, "", 3, "z"), (2, "b", 4, "z"), (2, "b ", 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest int, file string")
+    kept = exact_dedup.dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(tuple(x)) for x in kept.collect()) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5]]))
+    assert exact_dedup.dedup(docs.limit(0)).isEmpty()
+
+
 # -- urls ----------------------------------------------------------------------------------------
 
 
@@ -703,20 +771,24 @@ def test_words_are_those_of_the_plain_rule():
 
 
 def test_pipeline_stages(spark, corpus, tmp_path):
-    """Each stage on its own input, as plain Python would decide."""
+    """Each stage on its own input, as plain Python would decide: toxic rows, copies, near copies, benchmark passages, odd rows."""
     d = str(tmp_path)
     r = random.Random(8)
     item = prose(r, 30)
     rows = [x for x in corpus if x[0] is not None and (x[0] < 1000 or x[0] == 1004)] + [(2000, "w1 w2 " + item + " w3"), (2001, prose(r, 50))]
+    toxic = [(3000 + i, f"{prose(r, 20)} {'moron' if i % 2 else 'idiot'} {prose(r, 20)}") for i in range(60)]
+    rows += toxic + [(None, prose(r, 12)), (None, "w3 moron w4 w5"), (2001, prose(r, 40)), (2002, None), (2003, "")]
     table(spark, rows).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 3000)) for i in [*range(120), *range(3000, 3060)]], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "jaccard_join", "decontamination", "packing"]
     packed = corpus_pipeline.run(spark, d).select("doc_id").distinct().collect()
+    clean = [(i, t) for i, t in rows if not {"moron", "idiot"} & set((t or "").split())]
     first = {}
-    for i, t in sorted(rows, key=lambda x: x[0]):
-        first.setdefault(" ".join((t or "").split()), i)
-    texts = dict(rows)
-    kept = [(i, texts[i]) for i in sorted(first.values())]
-    parts = brute_components(kept, 5, Fraction("0.8"))
-    assert {x.doc_id for x in packed} == {c for i, (_, c) in parts.items()} - {2000}
+    for i, t in sorted(clean, key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(" ".join((t or "").split()), (i, t))
+    kept = list(first.values())
+    parts = brute_components([(i, t) for i, t in kept if i is not None], 5, Fraction("0.8"))
+    assert {x.doc_id for x in packed} == {c for i, (_, c) in parts.items()} - {2000} | {None}
+    table(spark, []).write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    assert corpus_pipeline.run(spark, d).isEmpty()
