@@ -3,6 +3,11 @@
 Toxic documents go; of equal texts one stays; of near-duplicate groups (five-word shingles,
 similarity 0.8 or more) one document stays; documents that hold a benchmark item go; the rest is
 packed into sequences of 4096 tokens. The first four stages return the columns of documents.
+
+Defined cases: rows are judged by their own texts, so null and repeated doc_ids lose no row but that a
+near copy without doc_id stays; a null text counts as empty: one such row passes all filters; empty
+texts link with nothing; very long texts are read whole; other columns pass through the first four
+stages, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
