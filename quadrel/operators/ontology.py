@@ -32,7 +32,7 @@ def profile(triples: DataFrame) -> DataFrame:
     return c.withColumn("verdict", F.when(F.size(v) == 0, F.array(F.lit("compatible with the lightweight profiles"))).otherwise(v))
 
 
-def expressions(triples: DataFrame, max_rounds: int = 50) -> DataFrame:
+def expressions(triples: DataFrame) -> DataFrame:
     """node, text: class expressions of blank nodes in description-logic notation, inner ones first."""
     t = cut(triples.filter("s_kind = 'bnode'").select("s", "p", "o", "o_kind").distinct())
     known = None
@@ -40,7 +40,7 @@ def expressions(triples: DataFrame, max_rounds: int = 50) -> DataFrame:
     prop = one(OWL.onProperty, "prop").select("node", last_name(F.col("prop")).alias("prop"))
     items = _lists(t)
     done = cut(t.sparkSession.createDataFrame([], "node string, text string"))
-    for _ in range(max_rounds):
+    while True:
         name = lambda df, c: df.join(done.select(F.col("node").alias(c), F.col("text").alias("inner")), c, "left").withColumn("name", F.when(F.col(c + "_kind") == "bnode", F.col("inner")).otherwise(last_name(F.col(c))))
         parts = []
         for p, sign in ((OWL.someValuesFrom, "∃"), (OWL.allValuesFrom, "∀")):
@@ -62,7 +62,6 @@ def expressions(triples: DataFrame, max_rounds: int = 50) -> DataFrame:
         if known.count() == done.count():
             return known
         done = known
-    raise RuntimeError("class expressions did not settle")
 
 
 def _lists(t: DataFrame) -> DataFrame:

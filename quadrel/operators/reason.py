@@ -10,6 +10,7 @@ broadcasts the side whose run-time size allows it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -120,27 +121,79 @@ def _usable(rule: Rule, predicates: set[str], types: set[str]) -> bool:
     return all((is_var(p) or str(p) in predicates) and (is_var(o) or p != TYPE or str(o) in types) for _, p, o in rule.body)
 
 
-def closure_rl(triples: DataFrame, tiers: tuple[int, ...] = (1, 2, 3), max_rounds: int = 50) -> DataFrame:
+class _Lists:
+    """Axioms over RDF lists: intersections, unions and property chains, their lists unrolled once."""
+
+    def __init__(self, known: DataFrame, tiers: tuple[int, ...]):
+        from .ontology import _lists
+
+        self.sets = self.chains = None
+        named = known.filter(F.col("p").isin(str(OWL.intersectionOf), str(OWL.unionOf), str(OWL.propertyChainAxiom)))
+        if named.isEmpty():
+            return
+        items = _lists(known)
+        held = cut(named.select(F.col("s").alias("owner"), F.col("s_kind").alias("owner_kind"), "p", F.col("o").alias("list")).join(items, "list").distinct())
+        if 3 in tiers:
+            self.sets = held.filter(F.col("p") != OWL.propertyChainAxiom)
+        if 2 in tiers:
+            self.chains = held.filter(F.col("p") == OWL.propertyChainAxiom).select("owner", "list", "pos", F.col("item").alias("link"))
+            self.longest = (self.chains.agg(F.max("pos")).first()[0] or 0) if not self.chains.isEmpty() else 0
+
+    def schema(self) -> list[DataFrame]:
+        """Subclass triples of intersections (below each member) and unions (above each)."""
+        if self.sets is None:
+            return []
+        none = F.lit(None).cast("string")
+        row = lambda df, s, sk, o, ok: df.select(F.col(s).alias("s"), F.col(sk).alias("s_kind"), F.lit(str(SUB)).alias("p"), F.col(o).alias("o"), F.col(ok).alias("o_kind"), none.alias("o_dtype"), none.alias("o_lang")).select(*TERM)
+        return [row(self.sets.filter(F.col("p") == OWL.intersectionOf), "owner", "owner_kind", "item", "item_kind"), row(self.sets.filter(F.col("p") == OWL.unionOf), "item", "item_kind", "owner", "owner_kind")]
+
+    def fire(self, known: DataFrame) -> list[DataFrame]:
+        """Members of all parts of an intersection are its members; a chain of properties implies its property."""
+        out = []
+        if self.sets is not None:
+            both = self.sets.filter(F.col("p") == OWL.intersectionOf).select("owner", "owner_kind", "item")
+            size = both.groupBy("owner").agg(F.countDistinct("item").alias("size"))
+            inst = known.filter(F.col("p") == TYPE).select("s", "s_kind", F.col("o").alias("item")).join(both, "item")
+            full = inst.groupBy("s", "s_kind", "owner", "owner_kind").agg(F.countDistinct("item").alias("n")).join(size, "owner").filter("n = size")
+            out.append(_triple(full, "s", "s_kind", F.lit(str(TYPE)), "owner", "owner_kind"))
+        if self.chains is not None and self.longest:
+            link = known.filter("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("s_kind").alias("x_kind"), F.col("p").alias("link"), F.col("o").alias("y"), F.col("o_kind").alias("y_kind"))
+            size = self.chains.groupBy("list").agg(F.max("pos").alias("last"))
+            at = link.join(self.chains.filter("pos = 0"), "link").select("owner", "list", "x", "x_kind", "y", "y_kind")
+            for k in range(1, self.longest + 1):  # as many as the longest chain has properties
+                step = link.join(self.chains.filter(F.col("pos") == k).select("list", "link"), "link").select("list", F.col("x").alias("y"), F.col("y").alias("z"), F.col("y_kind").alias("z_kind"))
+                at = at.join(step, ["list", "y"]).select("owner", "list", "x", "x_kind", F.col("z").alias("y"), F.col("z_kind").alias("y_kind")).distinct()
+                out.append(_triple(at.join(size.filter(F.col("last") == k), "list"), "x", "x_kind", F.col("owner"), "y", "y_kind"))
+        return out
+
+
+def _triple(df: DataFrame, s: str, sk: str, p, o: str, ok: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return df.select(F.col(s).alias("s"), F.col(sk).alias("s_kind"), p.alias("p"), F.col(o).alias("o"), F.col(ok).alias("o_kind"), none.alias("o_dtype"), none.alias("o_lang")).select(*TERM).distinct()
+
+
+def closure_rl(triples: DataFrame, tiers: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """All triples, asserted and derived, as a set."""
-    known = delta = cut(triples.select(*TERM).distinct())
+    known = triples.select(*TERM).distinct()
+    lists = _Lists(cut(known), tiers)
+    for part in lists.schema():
+        known = known.unionByName(part)
+    known = delta = cut(known.distinct())
     every = rules(tiers)
     heads = {str(h[1]) for r in every for h in r.head if not is_var(h[1])}
     # vocabulary only: predicates, and the classes that rules name
     named = {str(x) for r in every for b in r.body for x in b if not is_var(x)}
-    predicates = heads | {r[0] for r in known.filter(F.col("p").isin(list(named))).select("p").distinct().collect()}
-    types = {r[0] for r in known.filter((F.col("p") == TYPE) & F.col("o").isin(list(named))).select("o").distinct().collect()}
+    predicates = heads | {r[0] for r in delta.filter(F.col("p").isin(list(named))).select("p").distinct().collect()}
+    types = {r[0] for r in delta.filter((F.col("p") == TYPE) & F.col("o").isin(list(named))).select("o").distinct().collect()}
     usable = [r for r in every if _usable(r, predicates | {TYPE}, types)]
-    for _ in range(max_rounds):
-        parts = [d for r in usable for d in _fire(r, known, delta)]
-        found = parts[0]
-        for d in parts[1:]:
-            found = found.unionByName(d)
+    while True:  # terms are finite, so rounds end
+        parts = [d for r in usable for d in _fire(r, known, delta)] + lists.fire(known)
+        found = reduce(DataFrame.unionByName, parts)
         fresh = found.distinct().alias("f").join(known.alias("k"), [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in TERM], "left_anti")
         delta = cut(fresh)
         if delta.isEmpty():
             return known
         known = cut(known.unionByName(delta))
-    raise RuntimeError("the closure did not settle")
 
 
 def new_triples(inferred: DataFrame, asserted: DataFrame) -> DataFrame:

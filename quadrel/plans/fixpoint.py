@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,44 +20,63 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             where = f"file://{tempfile.gettempdir()}/quadrel-checkpoints"
             os.makedirs(where.removeprefix("file://"), exist_ok=True)
         sc.setCheckpointDir(where)
     return df.checkpoint()
 
 
+class Grown:
+    """A table that rounds add to: each part is written once, and many small parts are joined into one now and then."""
+
+    def __init__(self, first: DataFrame, most: int = 16):
+        self.parts, self.most = [first], most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            self.parts = [cut(self.whole)]
+
+    @property
+    def whole(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """(src, dst) of all paths of one edge or more; with seeds (src), only from those; max_rounds caps the length."""
     e = edges.select("src", "dst").distinct()
     first = e if seeds is None else e.join(seeds.select("src").distinct(), "src", "left_semi")
-    known = delta = cut(first)
+    delta = cut(first)
+    known = Grown(delta)
     step = cut(e.select(F.col("src").alias("dst"), F.col("dst").alias("next")))
     rounds = 1
     while not delta.isEmpty() and (max_rounds is None or rounds < max_rounds):
         found = delta.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        delta = cut(found.join(known, ["src", "dst"], "left_anti"))
-        known = cut(known.unionByName(delta))
+        delta = cut(found.join(known.whole, ["src", "dst"], "left_anti"))
+        known.add(delta)
         rounds += 1
-    return known
+    return known.whole
 
 
 def reach_with_depth(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth): shortest number of edges from each seed, itself at 0."""
     step = cut(edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct())
     delta = cut(seeds.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0).cast("bigint").alias("depth")))
-    known, depth = delta, 0
+    known, depth = Grown(delta), 0
     while not delta.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         found = delta.join(step, "dst").select("src", F.col("next").alias("dst"), F.lit(depth).cast("bigint").alias("depth")).distinct()
-        delta = cut(found.join(known, ["src", "dst"], "left_anti"))
-        known = cut(known.unionByName(delta))
-    return known
+        delta = cut(found.join(known.whole, ["src", "dst"], "left_anti"))
+        known.add(delta)
+    return known.whole
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 64) -> DataFrame:
-    """(pos, node) of one shortest path, the smallest predecessor where several fit; no rows without a path."""
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(pos, node) of one shortest path of any length, the smallest predecessor where several fit; no rows without a path."""
     spark = edges.sparkSession
-    reached = reach_with_depth(edges, spark.range(1).select(F.lit(start).alias("src")), max_depth).select(F.col("dst").alias("node"), "depth")
+    reached = reach_with_depth(edges, spark.range(1).select(F.lit(start).alias("src"))).select(F.col("dst").alias("node"), "depth")
     at, path = end, []
     row = reached.filter(F.col("node") == end).first()
     if row is None:
@@ -68,20 +88,35 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 64) -
     return spark.createDataFrame([(0, start), *reversed(path)], "pos bigint, node string")
 
 
-def longest_depth(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, depth): edges on the longest path up from the node (src -> dst is child -> parent). A cycle is an error."""
-    e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
-    most = nodes.count()
-    depth = cut(nodes.select("node", F.lit(0).cast("bigint").alias("depth")))
-    for _ in range(min(max_rounds, most)):
-        up = e.join(depth.select(F.col("node").alias("dst"), F.col("depth").alias("above")), "dst").groupBy(F.col("src").alias("node")).agg((F.max("above") + 1).alias("new"))
-        after = depth.join(up, "node", "left").select("node", F.greatest("depth", F.coalesce("new", F.lit(0))).alias("depth"), (F.coalesce("new", F.lit(0)) > F.col("depth")).alias("changed"))
-        after = cut(after)
-        depth = after.select("node", "depth")
-        if after.filter("changed").isEmpty():
-            return depth
-    raise ValueError("the graph has a cycle")
+def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, depth) of nodes from which no cycle is reached, depth being the edges on the longest path up; the edges left over).
+
+    Round k takes the nodes all of whose targets went before, so rounds are as many as levels.
+    """
+    left = cut(edges.select("src", "dst").distinct())
+    nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+    fresh = cut(nodes.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("depth")))
+    done, k = Grown(fresh), 0
+    while not fresh.isEmpty():
+        k += 1
+        hit = left.join(fresh.select(F.col("node").alias("dst")), "dst", "left_semi").select("src").distinct()
+        left = cut(left.join(fresh.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        fresh = cut(hit.join(left.select("src").distinct(), "src", "left_anti").select(F.col("src").alias("node"), F.lit(k).cast("bigint").alias("depth")))
+        done.add(fresh)
+    return done.whole, left
+
+
+def longest_depth(edges: DataFrame, guarded: bool = False) -> DataFrame:
+    """(node, depth): edges on the longest path up from the node (src -> dst is child -> parent).
+
+    A node from which a cycle is reached has no longest path: an error, or with ``guarded`` depth null.
+    """
+    depth, left = peel(edges.filter("src <> dst"))
+    if left.isEmpty():
+        return depth
+    if not guarded:
+        raise ValueError("the graph has a cycle")
+    return depth.unionByName(left.select(F.col("src").alias("node")).distinct().select("node", F.lit(None).cast("bigint").alias("depth")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -105,13 +140,20 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(parts, nodes.node == parts.u, "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def core(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that reach a cycle and are reached from one: all that can lie on a cycle."""
+    _, left = peel(edges)
+    _, left = peel(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): mutually reachable nodes, named by the smallest member; only groups of two or more."""
-    c = closure(edges)
+    c = closure(core(edges.filter("src <> dst")))
     back = c.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     mutual = c.join(back, ["src", "dst"]).filter("src <> dst")
     return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component"))
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    return not closure(edges).filter("src = dst").isEmpty()
+    return not peel(edges)[1].isEmpty()

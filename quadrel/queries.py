@@ -40,7 +40,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder that all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quadrel-shared"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    where = where or f"file://{tempfile.gettempdir()}/quadrel-shared"
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -208,20 +211,22 @@ def named_graph(spark, d):
     return quads(spark, d).filter(F.col("g") == "urn:graph:supplier").groupBy("s").agg(F.count("*").alias("n"))
 
 
-@query("sparql_classes_S15", SQL["classes_T2"])
+@query("sparql_classes_S15", f"{Q} SELECT o AS kind, count(*) AS members FROM {of(TYPE)} GROUP BY o")
 def sparql_classes(spark, d):
-    return sparql(quads(spark, d), """SELECT DISTINCT ?class ?label ?definition WHERE { ?class a owl:Class FILTER(isIRI(?class)) OPTIONAL { ?class rdfs:label ?label } OPTIONAL { ?class skos:definition ?definition } } ORDER BY ?label ?class""")
+    return sparql(quads(spark, d), "SELECT ?kind (COUNT(?x) AS ?members) WHERE { ?x a ?kind } GROUP BY ?kind ORDER BY DESC(?members) ?kind")
 
 
-@query("sparql_cross_edges_S15", SQL["cross_edges_T10"])
+@query("sparql_cross_edges_S15", f"SELECT child_ontology AS lower, parent_ontology AS upper, edges AS n FROM ({SQL['cross_edges_T10']}) z")
 def sparql_cross_edges(spark, d):
-    return sparql(quads(spark, d), """SELECT ?child_ontology ?parent_ontology (COUNT(*) AS ?edges) WHERE { GRAPH ?gc { ?c a owl:Class ; rdfs:subClassOf ?p FILTER(isIRI(?c) && isIRI(?p)) } GRAPH ?gc { ?child_ontology a owl:Ontology }
-      GRAPH ?gp { ?p a owl:Class } GRAPH ?gp { ?parent_ontology a owl:Ontology } FILTER(?gc != ?gp) } GROUP BY ?child_ontology ?parent_ontology HAVING (COUNT(*) >= 1) ORDER BY DESC(?edges)""")
+    return sparql(quads(spark, d), """SELECT ?lower ?upper (COUNT(*) AS ?n) WHERE {
+      GRAPH ?here { ?narrow rdfs:subClassOf ?wide . ?narrow a owl:Class } GRAPH ?here { ?lower a owl:Ontology }
+      GRAPH ?there { ?wide a owl:Class } GRAPH ?there { ?upper a owl:Ontology }
+      FILTER(?here != ?there && isIRI(?narrow) && isIRI(?wide)) } GROUP BY ?lower ?upper""")
 
 
-@query("sparql_superclasses_Q10", SQL["superclasses_all_T7"])
+@query("sparql_superclasses_Q10", f"SELECT superclass AS above, label AS name FROM ({SQL['superclasses_all_T7']}) z")
 def sparql_superclasses(spark, d):
-    return sparql(quads(spark, d), f"""SELECT DISTINCT ?superclass ?label WHERE {{ <{EX}orders/1> rdfs:subClassOf+ ?superclass FILTER(isIRI(?superclass) && ?superclass != <{EX}orders/1>) OPTIONAL {{ ?superclass rdfs:label ?label }} }} ORDER BY ?label""")
+    return sparql(quads(spark, d), f"""SELECT DISTINCT ?above ?name WHERE {{ <{EX}orders/1> rdfs:subClassOf+ ?above OPTIONAL {{ ?above rdfs:label ?name }} FILTER(?above != <{EX}orders/1> && isIRI(?above)) }}""")
 
 
 @query("verbalise_Z2", f"{Q}, n AS (SELECT s, min(o) AS n FROM dg WHERE p = '{LABEL}' GROUP BY s) SELECT a.s, a.p, 'Every ' || coalesce(x.n, regexp_extract(a.s, '[^/]*$')) || ' is a ' || coalesce(y.n, regexp_extract(a.o, '[^/]*$')) || '.' AS sentence FROM dg a LEFT JOIN n x ON x.s = a.s LEFT JOIN n y ON y.s = a.o WHERE a.p = '{SUB}' AND a.o_kind = 'iri'")
@@ -771,7 +776,7 @@ def decisions(spark, d):
 def _models(spark, d):
     """Suppliers as components that realise nations (services), parts as data objects they write."""
     s, li = read(spark, d, "supplier"), read(spark, d, "lineitem")
-    writes = li.groupBy("l_suppkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 50 == 0, F.col("l_partkey")))).alias("writes"))
+    writes = li.groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("writes"))
     comp = s.join(writes, s.s_suppkey == writes.l_suppkey, "left").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array(F.col("s_nationkey").cast("bigint")).alias("realizes"), F.coalesce("writes", F.array().cast("array<bigint>")).alias("writes"), F.array(F.col("s_suppkey") + 1).alias("uses"))
     services = read(spark, d, "nation").filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
     return comp, services
@@ -790,7 +795,7 @@ def traceability(spark, d):
     return models.traceability(c, "realizes", s)
 
 
-@query("data_owners_M6", "SELECT l_partkey AS object, min(l_suppkey) AS component, 'writer' AS role FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey % 50 = 0 GROUP BY l_partkey")
+@query("data_owners_M6", "SELECT l_partkey AS object, min(l_suppkey) AS component, 'writer' AS role FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey")
 def data_owners(spark, d):
     c, _ = _models(spark, d)
     return models.data_owners(c.withColumn("reads", F.array().cast("array<bigint>")))
@@ -828,7 +833,7 @@ def _alignment(spark, d):
     ck, sk = F.col("c_custkey"), F.col("s_suppkey")
     lit = lambda df, s_, p_, o_: triples(df, s_, F.lit(str(p_)), o_).withColumn("o_kind", F.lit("literal"))
     voc = triples(c, v(ck), F.lit(str(TYPE)), F.lit(str(SKOS.Concept))).unionByName(triples(c.filter("c_custkey % 10 <> 1"), v(ck), F.lit(str(SKOS.broader)), v(ck - (ck + 9) % 10)))
-    voc = voc.unionByName(lit(c.filter("c_custkey % 2 = 0"), v(ck), DEFINITION, F.lit("a customer"))).unionByName(triples(o.filter("o_orderkey % 50 = 0"), F.concat(F.lit("http://ex/i/"), F.col("o_orderkey").cast("string")), F.lit(str(TYPE)), v(F.col("o_custkey"))))
+    voc = voc.unionByName(lit(c.filter("c_custkey % 2 = 0"), v(ck), DEFINITION, F.lit("a customer"))).unionByName(triples(o, F.concat(F.lit("http://ex/i/"), F.col("o_orderkey").cast("string")), F.lit(str(TYPE)), v(F.col("o_custkey"))))
     ont = triples(s, x(sk), F.lit(str(TYPE)), F.lit(str(CLASS))).unionByName(triples(s.filter("s_suppkey > 1"), x(sk), F.lit(str(SUB)), x(F.floor(sk / 2))))
     ont = ont.unionByName(lit(s, x(sk), DEFINITION, F.concat(F.lit("supplier "), sk.cast("string")))).unionByName(triples(s.filter("s_suppkey = 2"), x(sk), F.lit(str(OWL.disjointWith)), F.lit(O + "3")))
     r = s.filter("s_suppkey % 5 = 0")
@@ -848,7 +853,7 @@ _A = f"""WITH RECURSIVE m AS (SELECT c_custkey AS k, '{V}' || c_custkey AS v, '{
   asserted AS (SELECT * FROM tree UNION SELECT * FROM broader UNION SELECT v, o FROM m WHERE kind IN (1, 2) UNION SELECT o, v FROM m WHERE kind = 3 UNION SELECT '{O}' || s_suppkey, 'r' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0),
   base AS (SELECT * FROM asserted UNION SELECT v, o FROM eq UNION SELECT o, v FROM eq),
   c(src, dst) AS (SELECT src, dst FROM base UNION SELECT c.src, b.dst FROM c JOIN base b ON b.src = c.dst),
-  ind AS (SELECT 'http://ex/i/' || o_orderkey AS i, '{V}' || o_custkey AS t FROM orders WHERE o_orderkey % 50 = 0),
+  ind AS (SELECT 'http://ex/i/' || o_orderkey AS i, '{V}' || o_custkey AS t FROM orders),
   fresh AS (SELECT * FROM c EXCEPT SELECT * FROM asserted)"""
 
 
