@@ -6,8 +6,8 @@ table is full. Documents hash to slots, and a broadcast join with the table, who
 parameter and not a function of the data, gives the shard. Removing a shard moves few others'
 slots.
 
-Defined cases: a null key hashes as the empty string; equal keys go to one shard unless
-``salts`` > 1 spreads them; columns of the input are kept, clashing names (``slot``,
+Defined cases: a null key hashes as the empty string; empty and very long keys are hashed whole; equal
+keys, and so repeated rows, go to one shard; columns of the input are kept, clashing names (``slot``,
 ``shard``) are replaced; an empty table stays empty.
 """
 
@@ -25,7 +25,7 @@ def fill(names: list[str], slots: int) -> list[int]:
     """Shard index of each slot. Its cost is that of the table; no data is seen."""
     if not names:
         raise ValueError("no shards")
-    if slots < len(names) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
+    if slots < max(2, len(names)) or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("slots must be a prime, at least the number of shards")
     order = []
     for name in names:

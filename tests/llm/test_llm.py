@@ -227,6 +227,20 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), "k", names, 997).isEmpty()
     with pytest.raises(ValueError):
         sharding.fill(names, 1000)
+    with pytest.raises(ValueError):
+        sharding.fill(["a"], 1)
+
+
+def test_write_shards(spark, tmp_path):
+    """Every row once, in its shard's folder; empty and very long keys too."""
+    rows = [(k, i) for i, k in enumerate([None, "", "a", "a", "k" * 300_000, *(f"key{i}" for i in range(200))])]
+    df = spark.createDataFrame(rows, "k string, n int")
+    names = ["x", "y", "z"]
+    sharding.write_shards(df, f"{tmp_path}/out", "k", names, 101, pieces=2)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    want = {x.n: x.shard for x in sharding.shard(df, "k", names, 101).collect()}
+    assert {x.n: x.shard for x in back.collect()} == want and back.count() == len(rows) and len(set(want.values())) == 3
+    assert want[0] == want[1] and want[2] == want[3]
 
 
 # -- tokens, packing, id files -------------------------------------------------------------------
