@@ -85,9 +85,10 @@ def relevance(foreground: DataFrame, background: DataFrame | None = None) -> Dat
 def cooccurrence(tokens_: DataFrame) -> DataFrame:
     """term_a < term_b, n: unordered pairs of different content lemmas in a sentence."""
     lemmas = content(tokens_).groupBy(*SENTENCE).agg(F.array_sort(F.collect_set("lemma")).alias("l"))
-    # pairs come from each sentence's own sorted list, so no self join and no shuffle but the two counts
-    rest = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda b: F.struct(a.alias("term_a"), b.alias("term_b")))))
-    return lemmas.select(F.explode(rest).alias("p")).groupBy("p.term_a", "p.term_b").agg(F.count("*").alias("n"))
+    # pairs come from each sentence's own sorted list, a left term at a time, so that no row holds them all
+    left = lemmas.select("l", F.posexplode("l").alias("i", "term_a"))
+    pairs = left.select("term_a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("term_b"))
+    return pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
 
 
 def phrases(tokens_: DataFrame) -> DataFrame:
