@@ -7,8 +7,8 @@ the next id: order 2 the id last seen after the same two ids, order 1 the one la
 same id, both with a confidence, and order 0 a distribution, the ids' counts in the block so far (as
 of the last power of two of ids). What remains is a fixed prior that falls with the id. The shares of
 order 2, 1, 0 and the prior mix two adaptive models (confidence of the predictions; outcomes of the
-last two ids) by a weight that follows how well each has predicted. A carry-less range coder codes
-which of the four it is, and for the last two the id.
+last two ids) by a weight that follows how well each has predicted. A carry-less range coder codes, as
+one interval, which of the four it is and, for the last two, the id.
 
 All blocks of a segment advance together, one id a step, as numpy lanes; a lane never reads
 another lane's state. A reader checks magic, header crc and every block's crc, which covers its
@@ -36,27 +36,30 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialise
 from .tokens import default_path, pieces_of
 
-MAGIC, BLOCK, END = b"QIDS0002", 2048, 1
+MAGIC, BLOCK, END = b"QIDS0003", 2048, 1
 #: Ids of a segment, about; more blocks side by side cost less time an id.
 SEGMENT = 4_000_000
-SLOT_BITS, TOTAL_BITS, PRIOR_BITS = 10, 16, 20
+#: Frequencies add up to 2**SHARE_BITS for the shares, to 2**ID_BITS for the ids under one of them.
+SLOT_BITS, SHARE_BITS, ID_BITS = 10, 12, 18
 NO_DOC = -(2**63)
 _32, _WORD, _LAST, _FULL = (np.uint64(x) for x in (32, 1 << 32, (1 << 32) - 1, (1 << 64) - 1))
 #: Order 0 takes the counts of the block's ids anew after so many of them.
 FIRST_COUNTS = 16
 
 
-def _prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cumulative and own frequency of each id, and the id of each value: falling with the id, as merges are numbered by use."""
+def _prior() -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative frequency of each id above PACK bits and its own below, and the id of each value: falling with the id, as merges are numbered by use."""
     shape = 1.0 / (np.arange(1 << 16) + 300.0)
-    freq = 2 + np.floor(shape / shape.sum() * ((1 << PRIOR_BITS) - (3 << 16))).astype(np.int64)
-    freq[0] += (1 << PRIOR_BITS) - freq.sum()
-    return (np.cumsum(freq) - freq).astype(np.int64), freq, np.repeat(np.arange(1 << 16, dtype=np.uint16), freq)
+    freq = 1 + np.floor(shape / shape.sum() * ((1 << ID_BITS) - (1 << 16))).astype(np.int64)
+    freq[0] += (1 << ID_BITS) - freq.sum()
+    return (np.cumsum(freq) - freq << PACK) + freq, np.repeat(np.arange(1 << 16, dtype=np.uint16), freq)
 
 
-PRIOR_LOW, PRIOR_FREQ, PRIOR_ID = _prior()
+PACK = 20
+PRIOR, PRIOR_ID = _prior()
 #: What outcome each share should have been.
 _HIT = np.eye(4, dtype=np.float32)
+_LEAST, _MOST = np.float32(0.02), np.float32(0.98)
 #: Confidence after a prediction (2 * confidence so far + whether it held), in the bits above the id.
 _SURE = np.array([1, 1, 0, 2, 1, 3, 1, 3], np.int32) << 16
 
@@ -79,9 +82,13 @@ class _Model:
         self.h1, self.h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.past = np.zeros(lanes, np.int64)
         self.bound = np.zeros((lanes, 5), np.int64)
-        self.bound[:, 4] = 1 << TOTAL_BITS
+        self.bound[:, 4] = 1 << SHARE_BITS
         self.flat = self.bound.reshape(-1)
 
+    @staticmethod
+    def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return table.view(np.complex128)[:, 0].take(at).view(np.float32).reshape(-1, 4)  # a row at once
+
     def predict(self) -> None:
         mask = (1 << SLOT_BITS) - 1
         self.s1 = ((self.h1 >> 4) & mask) + self.at
@@ -90,11 +97,11 @@ class _Model:
         self.p1, self.p2, self.c1, self.c2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
         self.ka = self.base_a + ((self.c2 << 2) + self.c1 + ((self.p1 == self.p2) << 4))
         self.kb = self.base_b + self.past
-        self.qa, self.qb = self.a.take(self.ka, 0), self.b.take(self.kb, 0)
+        self.qa, self.qb = self._rows(self.a, self.ka), self._rows(self.b, self.kb)
         self.gap = self.qa - self.qb
         self.mixed = self.gap * self.weight
         self.mixed += self.qb
-        f = (self.mixed * np.float32((1 << TOTAL_BITS) - 16)).astype(np.int64)
+        f = (self.mixed * np.float32((1 << SHARE_BITS) - 16)).astype(np.int64)
         f += 1
         bound = self.bound  # of the outcomes; the last takes what is left
         bound[:, 1] = f[:, 0]
@@ -108,7 +115,7 @@ class _Model:
         return low, self.flat.take(at + 1) - low
 
     def update(self, ids: np.ndarray, out: np.ndarray) -> None:
-        hit = _HIT.take(out, 0)
+        hit = self._rows(_HIT, out)
         lean = hit - self.mixed
         lean *= self.gap
         total = lean[:, 0] + lean[:, 1]
@@ -116,7 +123,8 @@ class _Model:
         total += lean[:, 3]
         total *= np.float32(0.05)
         self.weight += np.repeat(total, 4).reshape(-1, 4)
-        np.clip(self.weight, 0.02, 0.98, out=self.weight)
+        np.maximum(self.weight, _LEAST, out=self.weight)
+        np.minimum(self.weight, _MOST, out=self.weight)
         for table, at, q, rate in ((self.a, self.ka, self.qa, np.float32(0.03)), (self.b, self.kb, self.qb, np.float32(0.02))):
             step = hit - q
             step *= rate
@@ -135,23 +143,18 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
         self.out, self.n, self.room = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room, room
 
-    def put(self, cum, freq, bits, lanes) -> None:
-        low, size = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        step = size >> bits
-        low, size = low + step * cum.view(np.uint64), step * freq.view(np.uint64)
-        due = np.flatnonzero(size < _WORD)
+    def put(self, cum: np.ndarray, freq: np.ndarray) -> None:
+        step = self.range >> _BITS
+        self.low += step * cum.view(np.uint64)
+        step *= freq.view(np.uint64)
+        due = np.flatnonzero(step < _WORD)
         if len(due):
-            x = low[due]
-            at = due if lanes is None else lanes[due]
-            to = self.n[at]
+            x, to = self.low.take(due), self.n.take(due)
             self.out[to] = x >> _32
-            self.n[at] = to + 1
-            size[due] = _cut(x, size[due]) << _32
-            low[due] = x << _32
-        if lanes is None:
-            self.low, self.range = low, size
-        else:
-            self.low[lanes], self.range[lanes] = low, size
+            self.n[due] = to + 1
+            step[due] = _cut(x, step.take(due)) << _32
+            self.low[due] = x << _32
+        self.range = step
 
     def close(self) -> list[bytes]:
         words = self.out.astype("<u4")
@@ -171,33 +174,26 @@ class _Reader:
         self.low, self.range = np.zeros(len(begin), np.uint64), np.full(len(begin), _FULL)
         self.code = (self.data[self.n - 2] << _32) | self.data[self.n - 1]
 
-    def value(self, bits, lanes):
-        self.now = (self.low, self.range, self.code) if lanes is None else (self.low[lanes], self.range[lanes], self.code[lanes])
-        low, size, code = self.now
-        self.step = size >> bits
-        return np.minimum((code - low) // self.step, (np.uint64(1) << bits) - np.uint64(1)).view(np.int64)
+    def value(self) -> np.ndarray:
+        self.step = self.range >> _BITS
+        return np.minimum((self.code - self.low) // self.step, _TOP).view(np.int64)
 
-    def take(self, cum, freq, lanes) -> None:
-        low, _, code = self.now
-        low, size = low + self.step * cum.view(np.uint64), self.step * freq.view(np.uint64)
+    def take(self, cum: np.ndarray, freq: np.ndarray) -> None:
+        self.low += self.step * cum.view(np.uint64)
+        size = self.step
+        size *= freq.view(np.uint64)
         due = np.flatnonzero(size < _WORD)
         if len(due):
-            x = low[due]
-            at = due if lanes is None else lanes[due]
-            frm = self.n[at]
-            if lanes is None:
-                code = code.copy()
-            code[due] = (code[due] << _32) | self.data[np.minimum(frm, len(self.data) - 1)]
-            self.n[at] = frm + 1
-            size[due] = _cut(x, size[due]) << _32
-            low[due] = x << _32
-        if lanes is None:
-            self.low, self.range, self.code = low, size, code
-        else:
-            self.low[lanes], self.range[lanes], self.code[lanes] = low, size, code
+            x, frm = self.low.take(due), self.n.take(due)
+            self.code[due] = (self.code.take(due) << _32) | self.data.take(frm, mode="clip")
+            self.n[due] = frm + 1
+            size[due] = _cut(x, size.take(due)) << _32
+            self.low[due] = x << _32
+        self.range = size
 
 
-_T, _P = np.uint64(TOTAL_BITS), np.uint64(PRIOR_BITS)
+_OWN = (1 << PACK) - 1
+_BITS, _TOP = np.uint64(SHARE_BITS + ID_BITS), np.uint64((1 << SHARE_BITS + ID_BITS) - 1)
 
 
 def _counting(step: int) -> bool:
@@ -205,34 +201,61 @@ def _counting(step: int) -> bool:
     return step >= FIRST_COUNTS and step & (step - 1) == 0
 
 
+def _ranks(grid: np.ndarray) -> np.ndarray:
+    """Place of each id's count among its lane's counts: steps by lanes. Lots of lanes bound the memory."""
+    lanes, block = grid.shape
+    out = np.empty((block, lanes), np.int32)
+    for lo in range(0, lanes, 128):
+        lot = grid[lo : lo + 128]
+        order = np.argsort(lot, axis=1, kind="stable")
+        ordered = np.take_along_axis(lot, order, 1)
+        dense = np.zeros(lot.shape, np.int32)
+        np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1, out=dense[:, 1:])
+        rank = np.empty_like(dense)
+        np.put_along_axis(rank, order, dense, 1)
+        rank += np.arange(lo, lo + len(lot), dtype=np.int32)[:, None] * block
+        out[:, lo : lo + len(lot)] = rank.T
+    return out
+
+
 def _encode_lanes(grid: np.ndarray) -> list[bytes]:
     """Code of each row of ids (uint16)."""
     lanes, block = grid.shape
-    order = np.argsort(grid, axis=1, kind="stable")
-    ordered = np.take_along_axis(grid, order, 1)
-    dense = np.zeros(grid.shape, np.int32)
-    np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1, out=dense[:, 1:])
-    rank = np.empty_like(dense)
-    np.put_along_axis(rank, order, dense, 1)
-    rank += np.arange(lanes, dtype=np.int32)[:, None] * block  # place of an id's count in its lane
-    steps, ranks = np.ascontiguousarray(grid.T).astype(np.int32), np.ascontiguousarray(rank.T).astype(np.int64)
-    del order, ordered, dense
-    count, first, shift = np.zeros(lanes * block, np.int64), np.zeros(lanes * block, np.int64), 0
-    model, writer = _Model(lanes), _Writer(lanes, block * 3 + 8)
-    for k, now in enumerate(steps):
+    ranks, steps = _ranks(grid), np.ascontiguousarray(grid.T)
+    counts, shift = np.zeros(lanes * block, np.int32), 0  # cumulative above 16 bits, own below
+    model, writer = _Model(lanes), _Writer(lanes, block + 8)  # an interval costs one word at most
+    for k in range(block):
         if _counting(k):
-            count = np.bincount(ranks[:k].reshape(-1), minlength=lanes * block)
-            shift = TOTAL_BITS - k.bit_length() + 1
-            first = np.cumsum(count)
-            first -= count
-            first -= np.repeat(np.arange(lanes) * k, block)
+            count = np.bincount(ranks[:k].reshape(-1), minlength=lanes * block).astype(np.int32)
+            shift = ID_BITS - k.bit_length() + 1
+            counts = np.cumsum(count, dtype=np.int32)
+            counts -= count
+            by_lane = counts.reshape(lanes, block)
+            by_lane -= np.arange(lanes, dtype=np.int32)[:, None] * k
+            counts <<= 16
+            counts |= count
+            del count
+        now, at = steps[k].astype(np.int32), ranks[k].astype(np.int64)
         model.predict()
-        held = count.take(ranks[k])
-        out = np.where(now == model.p2, 0, np.where(now == model.p1, 1, np.where(held > 0, 2, 3)))
-        writer.put(*model.span(out), _T, None)
-        rest = np.flatnonzero(out > 1)
-        new, mine, ids = out[rest] == 3, ranks[k][rest], now[rest]
-        writer.put(np.where(new, PRIOR_LOW.take(ids), first.take(mine) << shift), np.where(new, PRIOR_FREQ.take(ids), held[rest] << shift), np.where(new, _P, _T), rest)
+        pair, fresh = counts.take(at), PRIOR.take(now)
+        low, freq = pair >> 16, pair & 0xFFFF
+        out = (freq == 0).view(np.int8) + np.int8(1)
+        out *= (now != model.p1).view(np.int8)
+        out += np.int8(1)
+        out *= (now != model.p2).view(np.int8)
+        new, told = out == 3, out < 2
+        low <<= shift
+        freq <<= shift
+        np.copyto(low, fresh >> PACK, where=new, casting="unsafe")
+        np.copyto(freq, fresh & _OWN, where=new, casting="unsafe")
+        np.copyto(low, 0, where=told)
+        np.copyto(freq, 1 << ID_BITS, where=told)
+        out = out.astype(np.int64)
+        begin, share = model.span(out)
+        begin <<= ID_BITS
+        begin += share * low
+        share *= freq
+        writer.put(begin, share)
         model.update(now, out)
     return writer.close()
 
@@ -241,39 +264,58 @@ def _decode_lanes(code: bytes, begin: np.ndarray, block: int) -> np.ndarray:
     """Rows of ids of the codes that begin there."""
     lanes = len(begin)
     model, reader = _Model(lanes), _Reader(code, begin)
-    steps = np.empty((block, lanes), np.uint16)
-    ordered, first, count, size, shift = np.zeros(1, np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64), 0, 0
+    steps, lane = np.empty((block, lanes), np.uint16), np.arange(lanes)
+    counts, size, shift = np.ones(1, np.int64), 0, 0  # of each place in the ordered ids: cumulative above 32 bits, id above 16, own
     for k in range(block):
         if _counting(k):
-            size, shift = k, TOTAL_BITS - k.bit_length() + 1
+            size, shift = k, ID_BITS - k.bit_length() + 1
             ordered = np.sort(steps[:k].T, axis=1, kind="stable").reshape(-1)
             starts = np.ones(lanes * k, bool)
             starts[1:] = ordered[1:] != ordered[:-1]
             starts[::k] = True
             at = np.flatnonzero(starts)
             length = np.diff(np.append(at, lanes * k))
-            first, count = np.repeat(at % k, length), np.repeat(length, length)
+            counts = np.repeat((at % k << 32) + (ordered[at].astype(np.int64) << 16) + length, length)
+            del ordered, starts, at, length
         model.predict()
-        v = reader.value(_T, None)
-        out = (v >= model.bound[:, 1]).astype(np.int64)
-        out += v >= model.bound[:, 2]
-        out += v >= model.bound[:, 3]
-        reader.take(*model.span(out), None)
+        v = reader.value()
+        which, bound = v >> ID_BITS, model.bound
+        out = (which >= bound[:, 1]).view(np.int8) + (which >= bound[:, 2])
+        out += which >= bound[:, 3]
+        new, told = out == 3, out < 2
         now = np.where(out == 0, model.p2, model.p1)
-        rest = np.flatnonzero(out > 1)
-        new = out[rest] == 3
-        v = reader.value(np.where(new, _P, _T), rest)
-        at = np.where(new, 0, np.minimum(rest * size + (v >> shift), len(ordered) - 1))  # bad code may ask for what isn't there
-        ids = np.where(new, PRIOR_ID.take(np.where(new, v, 0)), ordered.take(at)).astype(np.int32)
-        reader.take(np.where(new, PRIOR_LOW.take(ids), first.take(at) << shift), np.where(new, PRIOR_FREQ.take(ids), count.take(at) << shift), rest)
-        now[rest] = ids
-        model.update(now, out)
-        steps[k] = now
+        out = out.astype(np.int64)
+        cum, share = model.span(out)
+        cum <<= ID_BITS
+        v -= cum
+        v = (v / share).astype(np.int64)  # exact: a quotient of fewer than 53 bits
+        at = v >> shift
+        at += lane * size
+        pair = counts.take(at, mode="clip")  # bad code may ask for what isn't there
+        low, freq = pair >> 32, pair & 0xFFFF
+        low <<= shift
+        freq <<= shift
+        fresh = PRIOR_ID.take(v)
+        prior = PRIOR.take(fresh)
+        np.copyto(low, prior >> PACK, where=new)
+        np.copyto(freq, prior & _OWN, where=new)
+        np.copyto(low, 0, where=told)
+        np.copyto(freq, 1 << ID_BITS, where=told)
+        ids = (pair >> 16 & 0xFFFF).astype(np.int32)
+        np.copyto(ids, fresh, where=new)
+        np.copyto(ids, now, where=told)
+        cum += share * low
+        share *= freq
+        reader.take(cum, share)
+        model.update(ids, out)
+        steps[k] = ids
     return np.ascontiguousarray(steps.T)
 
 
 def encode(docs: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One segment: the documents' ids, ids of each document in sequence."""
+    if block > 1 << 16:
+        raise ValueError("counts of a block beyond what a frequency holds")
     total = len(ids)
     block = min(block, max(64, total // 64))
     lanes = -(-total // block)
