@@ -19,9 +19,11 @@ KIND = "__kind"
 
 @dataclass(frozen=True)
 class Lit:
-    """A literal constant of a pattern."""
+    """A literal constant of a pattern; without datatype and language it matches any literal of that value."""
 
     value: str
+    dtype: str | None = None
+    lang: str | None = None
 
 
 def default_graph(quads: DataFrame) -> DataFrame:
@@ -50,6 +52,10 @@ def scan(quads: DataFrame, s, p, o, g: str | None = None) -> DataFrame:
                 columns[v + KIND] = F.col(f"{name}_kind")
         elif isinstance(x, Lit):
             df = df.filter((F.col(name) == x.value) & (F.col("o_kind") == "literal"))
+            if x.dtype:
+                df = df.filter(F.col("o_dtype") == x.dtype)
+            if x.lang:
+                df = df.filter(F.lower("o_lang") == x.lang.lower())
         else:
             df = df.filter(F.col(name) == str(x))
             if name == "o":

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import terms as tm
-from .operators import diff, enrich, graphs, models, text
+from .operators import convert, diff, enrich, graphs, models, text
 from .plans import fixpoint
 from .plans.bgp import default_graph
-from .queries import Q, of, query, read, scratch
+from .plans.update import update
+from .queries import _LPG_EDGES, _NODES, Q, of, query, read, scratch
 from .schema import DEFINITION, LABEL, OWL, RDFS, SKOS, SUB, TERM, TYPE
 from .sources import rdf
-from .sources.rdfize import quads
+from .sources.rdfize import EX, quads
 
 # -- terms ---------------------------------------------------------------------------------------
 
@@ -330,3 +331,27 @@ def list_rules(spark, d):
 
 
 RDF_FIRST, RDF_REST, RDF_NIL = (f"http://www.w3.org/1999/02/22-rdf-syntax-ns#{x}" for x in ("first", "rest", "nil"))
+
+
+# -- updates and the stored property graph ---------------------------------------------------------
+
+_SUPPLIER, _REGION, _NEW = "urn:graph:supplier", "urn:graph:region", "urn:graph:new"
+_MOVED = f"g = '{_SUPPLIER}' AND p = '{LABEL}' AND s IN (SELECT s FROM quads WHERE g = '{_SUPPLIER}' AND p = '{TYPE}' AND o = '{OWL.term('Class')}' AND o_kind = 'iri')"
+
+
+@query("sparql_update_S15", f"""{Q} SELECT g, s, s_kind, CASE WHEN {_MOVED} THEN '{SKOS.altLabel}' ELSE p END AS p, o, o_kind, o_dtype, o_lang FROM quads WHERE g <> 'urn:graph:nation' AND NOT (g = '{_REGION}' AND s = '{EX}region/1' AND p = '{TYPE}' AND o = '{OWL.term('Class')}')
+  UNION SELECT '{_NEW}', 'http://x/a', 'iri', '{LABEL}', 'a "b"', 'literal', NULL, 'en' UNION SELECT '{_NEW}', 'http://x/a', 'iri', 'http://x/level', '4', 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL""")
+def sparql_update(spark, d):
+    return update(quads(spark, d), f"""WITH <{_SUPPLIER}> DELETE {{ ?x rdfs:label ?l }} INSERT {{ ?x skos:altLabel ?l }} WHERE {{ ?x a owl:Class ; rdfs:label ?l }} ;
+      DELETE DATA {{ GRAPH <{_REGION}> {{ <{EX}region/1> a owl:Class }} }} ; CLEAR GRAPH <urn:graph:nation> ;
+      INSERT DATA {{ GRAPH <{_NEW}> {{ <http://x/a> rdfs:label "a \\"b\\""@en ; <http://x/level> 4 }} }}""")
+
+
+@query("lpg_load_E7", f"{Q}, {_NODES}, {_LPG_EDGES} SELECT src, dst, type, max(CASE WHEN key = 'SUBCLASS_OF' THEN '{SUB}' ELSE key END) AS iri FROM ed GROUP BY src, dst, type UNION ALL SELECT iri, NULL, 'node', NULL FROM n")
+def lpg_load(spark, d):
+    """What a store holds after the same projection was loaded twice."""
+    made, stored = convert.extract_transform(quads(spark, d)), convert.GraphStore(spark, scratch(spark, "graph"))
+    for clear in (True, False):
+        stored.load(made.nodes, made.edges, clear=clear)
+    none = F.lit(None).cast("string")
+    return stored.table("edges").select("src", "dst", "type", "iri").unionByName(stored.table("nodes").select(F.col("iri").alias("src"), none.alias("dst"), F.lit("node").alias("type"), none.alias("iri")))

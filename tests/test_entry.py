@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["classes_T2", "cross_edges_T10", "sparql_cross_edges_S15", "roots_leaves_T9", "closure_X1", "lpg_nodes_E1", "meta_nodes_E9", "plan_metrics_U3", "subsumption_R7", "reparent_R22", "notation_R30", "candidates_N9", "integrity_M1", "stream_sync_Y1", "turtle_S11", "rdf_xml_S11", "condensed_edges_X16", "guarded_depth_X13", "technology_M4", "list_rules_R34", "glossary_model_R27", "instances_R8"]
+NAMES = ["classes_T2", "cross_edges_T10", "sparql_cross_edges_S15", "roots_leaves_T9", "closure_X1", "lpg_nodes_E1", "meta_nodes_E9", "plan_metrics_U3", "subsumption_R7", "reparent_R22", "notation_R30", "candidates_N9", "integrity_M1", "stream_sync_Y1", "turtle_S11", "rdf_xml_S11", "condensed_edges_X16", "guarded_depth_X13", "technology_M4", "list_rules_R34", "glossary_model_R27", "instances_R8", "sparql_update_S15", "lpg_load_E7"]
 
 
 def test_names_match():

@@ -2,14 +2,16 @@
 
 import itertools
 
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quadrel.functions import terms as tm
-from quadrel.operators import diff, embed, lpg, models, ontology, patterns, reason, store, text, workflow
+from quadrel.operators import convert, diff, embed, lpg, models, ontology, patterns, reason, store, text, workflow
 from quadrel.operators.enrich import Enricher
 from quadrel.plans import fixpoint
 from quadrel.plans.sparql import sparql
+from quadrel.plans.update import update
 from quadrel.schema import OWL, QUADS, SKOS, SUB, TERM
 from quadrel.sources import rdf
 
@@ -123,6 +125,66 @@ def test_sparql(spark):
     assert values(sparql(q, 'SELECT ?x (GROUP_CONCAT(DISTINCT ?l; separator="||") AS ?g) WHERE { VALUES ?x { <http://x/a> <http://x/z> } ?x rdfs:label ?l } GROUP BY ?x')) == [("http://x/a", "A||AA")]
 
 
+def test_update(spark):
+    q = graph(spark, ':a a owl:Class ; rdfs:label "A", "A"@en, "B" . :b a owl:Class ; rdfs:label "A" ; rdfs:subClassOf :a . :c rdfs:subClassOf :b .').union(graph(spark, ':z rdfs:label "A" .', "urn:h"))
+    labels = lambda df: values(df.filter("p like '%label'").select("g", "s", "o", F.coalesce("o_lang", F.lit(""))))
+    every = labels(q)
+    a, b, z = "http://x/a", "http://x/b", "http://x/z"
+    # only the term that was matched goes, in the graph that is named
+    assert labels(update(q, 'DELETE { ?x rdfs:label ?l } WHERE { ?x rdfs:label ?l . ?x rdfs:label "A"@en }', graph="urn:g")) == [("urn:g", b, "A", ""), ("urn:h", z, "A", "")]
+    assert labels(update(q, 'DELETE DATA { GRAPH <urn:g> { <http://x/a> rdfs:label "A" } }')) == [r for r in every if r != ("urn:g", a, "A", "")]
+    assert labels(update(q, "DELETE WHERE { GRAPH ?g { ?x a owl:Class . ?x rdfs:label ?l } }")) == [("urn:h", z, "A", "")]
+    # deletes come first, solutions are those before the operation; an unbound variable adds nothing
+    moved = update(q, "WITH <urn:g> DELETE { ?x rdfs:label ?l } INSERT { ?x rdfs:label ?l . ?x skos:broader ?up . ?l rdfs:label ?x } WHERE { ?x rdfs:label ?l OPTIONAL { ?x rdfs:subClassOf ?up } }")
+    assert labels(moved) == every and values(moved.filter("p like '%broader'").select("s", "o", "o_kind")) == [(b, a, "iri")]
+    # paths, filters and values see plain values; a later operation sees the earlier one
+    closed = update(q, 'INSERT { ?x rdfs:seeAlso ?y } WHERE { ?x rdfs:subClassOf+ ?y } ; DELETE { ?x rdfs:seeAlso ?y } WHERE { VALUES ?y { <http://x/b> } ?x rdfs:seeAlso ?y FILTER(isIRI(?x) && STRSTARTS(STR(?x), "http://x/")) }', graph="urn:g")
+    assert values(closed.filter("p like '%seeAlso'").select("s", "o")) == [(b, a), ("http://x/c", a)]
+    added = update(q.limit(0), 'PREFIX x: <http://x/> INSERT DATA { GRAPH <urn:n> { _:n x:p "t\\n\\u00e9"^^<http://www.w3.org/2001/XMLSchema#string>, 1.5, x:o . _:n a x:C } } ; INSERT DATA { GRAPH <urn:n> { _:n a x:C } }')
+    assert values(added.filter("p = 'http://x/p'").select("o", "o_kind", "o_dtype")) == [("1.5", "literal", "http://www.w3.org/2001/XMLSchema#decimal"), ("http://x/o", "iri", None), ("t\n\u00e9", "literal", None)]
+    assert added.filter("s_kind = 'bnode'").select("s").distinct().count() == 2 and added.count() == 5
+    assert update(q, "CLEAR ALL").isEmpty() and values(update(q, "DROP GRAPH <urn:g> ;").select("g")) == [("urn:h",)]
+    for bad in ("INSERT DATA { <a> <b> <c> }", "INSERT DATA { GRAPH <g> { ?x a <c> } }", "DELETE DATA { GRAPH <g> { _:b a <c> } }", "LOAD <x>", 'INSERT DATA { GRAPH <g> { "a" a <c> } }'):
+        with pytest.raises(ValueError):
+            update(q, bad)
+
+
+def test_plan_statements_run(spark):
+    old = graph(spark, BUILD)
+    new = graph(spark, BUILD.replace("someValuesFrom", "allValuesFrom").replace('"wall"', '"Wall"') + ":Col a owl:Class ; rdfs:subClassOf [ a owl:Restriction ; owl:onProperty :has ; owl:someValuesFrom :Mat ] .")
+    script = " ;\n".join(r.statement for r in diff.plan(old.select(*TERM), new.select(*TERM)).statements().orderBy("seq").collect())
+    assert diff.isomorphic(update(old, script, graph="urn:g").select(*TERM), new.select(*TERM))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quadrel.__main__ import main
+    from quadrel.settings import Settings
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ttl").write_text(PREFIX + ':A a owl:Class ; rdfs:label "a" ; rdfs:subClassOf :B . :B a owl:Class .')
+    (tmp_path / "in" / "bad.ttl").write_text("this is no turtle")
+    (tmp_path / "env").write_text(f"# where\nSTORE='file://{tmp_path}/q'\nGRAPH_STORE=file://{tmp_path}/g\nOTHER=1\n")
+    run = lambda *a: main(["--settings", str(tmp_path / "env"), *a], spark)
+    assert Settings.load(tmp_path / "none").store == "quadrel-store" and Settings.load(tmp_path / "env", store="x").store == "x"
+    assert run("ping") == 0 and "quads up: empty" in capsys.readouterr().out
+    folder = f"file://{tmp_path}/in"
+    assert run("upload", "--root", f"{tmp_path}/in", "--dry-run", folder) == 0 and "urn:graph:a.ttl" in capsys.readouterr().out
+    assert run("upload", "--root", f"{tmp_path}/in", folder) == 1
+    seen = capsys.readouterr()
+    assert "1 files loaded, 1 failed; the store holds 4 triples" in seen.out and "bad.ttl" in seen.err
+    s = store.QuadStore(spark, f"file://{tmp_path}/q")
+    s.update("DELETE DATA { <http://x/A> rdfs:label \"a\" } ; INSERT DATA { <http://x/A> rdfs:label \"b\" }", graph="urn:graph:a.ttl")
+    assert values(s.get_graph("urn:graph:a.ttl").filter("o_kind = 'literal'").select("o")) == [("b",)]
+    s.versions.prune()
+    assert len(s.versions.committed()) == 1 and s.count_triples() == 4
+    assert run("lpg", "--dry-run") == 0 and convert.GraphStore(spark, f"file://{tmp_path}/g").table("nodes") is None
+    assert run("lpg", "--embed") == 0 and run("lpg") == 0
+    g = convert.GraphStore(spark, f"file://{tmp_path}/g")
+    assert g.table("nodes").count() == 2 and values(g.table("edges").select("src", "dst", "type")) == [("http://x/A", "http://x/B", "SUBCLASS_OF")] and g.table("embeddings").count() == 2
+    with pytest.raises(ValueError):
+        convert.embedder("unknown")
+
+
 BUILD = ":Wall a owl:Class ; rdfs:label \"wall\" ; rdfs:subClassOf :El, [ a owl:Restriction ; owl:onProperty :has ; owl:someValuesFrom :Mat ] . :El a owl:Class . :Mat a owl:Class ."
 
 
