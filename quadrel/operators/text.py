@@ -152,23 +152,32 @@ def normal_span(span: Column) -> Column:
 
 
 # The four patterns of super- and subordinate phrases (pattern, group of the one above, group of those below).
+# Each can only begin where a run of words and white space does, and its first phrase ends at a word, so that a
+# run without the pattern is read once, not once from each of its characters.
+_PHRASE = r"(?iU)(?<![\w\s])([\w\s](?:[\w\s]*?\w)??)\s++"
 HEARST = (
-    (r"(?iU)([\w\s]+?)\s+such as\s+([\w\s,]+)", 1, 2),
-    (r"(?iU)([\w\s]+?)\s+including\s+([\w\s,]+)", 1, 2),
-    (r"(?iU)([\w\s]+?)\s+especially\s+([\w\s,]+)", 1, 2),
-    (r"(?iU)([\w\s]+?)\s+(?:is|are)\s+(?:a|an)\s+([\w\s]+)", 2, 1),
+    (_PHRASE + r"such as\s+([\w\s,]+)", 1, 2),
+    (_PHRASE + r"including\s+([\w\s,]+)", 1, 2),
+    (_PHRASE + r"especially\s+([\w\s,]+)", 1, 2),
+    (_PHRASE + r"(?:is|are)\s+(?:a|an)\s+([\w\s]+)", 2, 1),
 )
+#: What every sentence with a pattern holds; no such sentence lacks it.
+HEARST_CUE = r"(?iU)\s(?:such as|including|especially|(?:is|are)\s+(?:a|an))\s"
+
+
+def _place(k: int):
+    return lambda m, at: F.struct(F.lit(k).alias("pattern"), at.alias("at"), m["sup"].alias("sup"), m["sub"].alias("sub"))
 
 
 def hearst(docs: DataFrame) -> DataFrame:
     """sub, sup, first: subsumptions that lexical patterns state, each once, with its first place."""
-    s = sentences(docs)
-    parts = None
+    s = sentences(docs).filter(F.col("sentence").rlike(HEARST_CUE))
+    kinds = []
     for k, (pattern, above, below) in enumerate(HEARST):
         found = F.arrays_zip(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(above)).alias("sup"), F.regexp_extract_all("sentence", F.lit(pattern), F.lit(below)).alias("sub"))
-        part = s.select("doc_id", "sent_id", F.lit(k).alias("pattern"), F.posexplode(found).alias("at", "m"))
-        part = part.select("doc_id", "sent_id", "pattern", "at", F.col("m.sup").alias("sup"), F.posexplode(F.split("m.sub", r",|\band\b")).alias("nth", "sub"))
-        parts = part if parts is None else parts.unionByName(part)
+        kinds.append(F.transform(found, _place(k)))
+    parts = s.select("doc_id", "sent_id", F.explode(F.concat(*kinds)).alias("m")).select("doc_id", "sent_id", "m.*")
+    parts = parts.select("doc_id", "sent_id", "pattern", "at", "sup", F.posexplode(F.split("sub", r",|\band\b")).alias("nth", "sub"))
     n = parts.withColumn("sup", normal_span(F.col("sup"))).withColumn("sub", normal_span(F.col("sub")))
     n = n.filter("sub <> '' and sup <> '' and sub <> sup")
     return n.groupBy("sub", "sup").agg(F.min(F.struct("doc_id", "sent_id", "pattern", "at", "nth")).alias("first"))
