@@ -9,10 +9,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship
+
+#: Edges among which one task finds strong components: some 300 MB.
+TASK_EDGES = 1_000_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut at a reliable checkpoint."""
@@ -147,12 +156,112 @@ def core(edges: DataFrame) -> DataFrame:
     return left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): mutually reachable nodes, named by the smallest member; only groups of two or more."""
-    c = closure(core(edges.filter("src <> dst")))
-    back = c.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = c.join(back, ["src", "dst"]).filter("src <> dst")
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component"))
+def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the groups of two or more among the edges of one task; an explicit stack, so paths may be long."""
+    found = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if found is None or not len(found):
+        return
+    names = pa.chunked_array(found.column(0).chunks + found.column(1).chunks).unique()
+    names = names.take(pc.sort_indices(names))  # so the smallest number of a group is its smallest name
+    src, dst = (pc.index_in(found.column(i), names).to_numpy() for i in (0, 1))
+    n = len(names)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist()
+    after, at = dst[np.argsort(src, kind="stable")].tolist(), begin[:-1]
+    seen, low, own, stack, count = [0] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if not seen[v]:
+                count += 1
+                seen[v] = low[v] = count
+                stack.append(v)
+            if at[v] < begin[v + 1]:
+                w = after[at[v]]
+                at[v] += 1
+                if not seen[w]:
+                    path.append(w)
+                elif own[w] < 0 and seen[w] < low[v]:
+                    low[v] = seen[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == seen[v]:
+                group = []
+                while not group or group[-1] != v:
+                    group.append(stack.pop())
+                least = min(group)
+                for w in group:
+                    own[w] = least
+    own = np.array(own)
+    several = np.flatnonzero(np.bincount(own, minlength=n)[own] > 1)
+    for lo in range(0, len(several), 100_000):
+        part = several[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(part)), names.take(pa.array(own[part]))], ["node", "component"])
+
+
+def _by_colour(edges: DataFrame) -> list[DataFrame]:
+    """Groups of any number of edges: each node takes the smallest node that reaches it; a group is what reaches such a node among the nodes that took it."""
+    groups, left = [], core(edges)
+    while not left.isEmpty():
+        colour = cut(left.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node")))
+        while True:
+            ahead = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("d")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("d").alias("d"))
+            colour = cut(colour.join(ahead, "node", "left").select("node", F.least("c", "d").alias("c"), (F.col("d") < F.col("c")).alias("fell")))
+            if colour.filter("fell").isEmpty():
+                break
+            colour = colour.drop("fell")
+        ends = [colour.select(F.col("node").alias(x), F.col("c").alias(x[0])) for x in ("src", "dst")]
+        same = cut(left.join(ends[0], "src").join(ends[1], "dst").filter("s = d").select("src", "dst"))
+        delta = cut(colour.filter("node = c").select("node", F.col("c").alias("component")))
+        known = Grown(delta)
+        while not delta.isEmpty():
+            delta = cut(same.join(delta.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component").distinct().join(known.whole.select("node"), "node", "left_anti"))
+            known.add(delta)
+        done = cut(known.whole)
+        groups.append(done)
+        left = core(same.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return groups
+
+
+def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, component): mutually reachable nodes, named by the smallest member; only groups of two or more.
+
+    A task finds the groups among its own edges, which then shrink to their names. While there are more than
+    ``task_edges`` edges, ranges of nodes are shrunk so, each by a task; what no longer shrinks goes by colours,
+    in rounds as many as paths are long. So the groups are exact at any size.
+    """
+    spark = edges.sparkSession
+    ship(spark)
+    kind = edges.schema["src"].dataType.simpleString()
+    local = lambda e: cut(e.mapInArrow(_lists, f"node {kind}, component {kind}"))
+    left = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    n, groups = left.count(), None
+
+    def joined(found: DataFrame) -> DataFrame:
+        """Groups of groups: a name of a former group stands for its members."""
+        if groups is None:
+            return found
+        up = found.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        members = groups.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        return members.unionByName(found.join(groups.select("node"), "node", "left_anti"))
+
+    while n > task_edges:
+        found = local(left.repartitionByRange(-(-2 * n // task_edges), "src"))
+        groups = cut(joined(found))
+        for x in ("src", "dst"):
+            left = left.join(found.select(F.col("node").alias(x), "component"), x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+        before, left = n, cut(left.select("src", "dst").filter("src <> dst").distinct())
+        n = left.count()
+        if n > 0.9 * before:
+            break
+    found = local(left.coalesce(1)) if n <= task_edges else reduce(DataFrame.unionByName, _by_colour(left), spark.createDataFrame([], f"node {kind}, component {kind}"))
+    out = joined(found)
+    size = out.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
+    return out.join(size, "component", "left_semi").select("node", "component")
 
 
 def has_cycle(edges: DataFrame) -> bool:
