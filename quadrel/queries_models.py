@@ -11,7 +11,7 @@ from .plans.bgp import default_graph
 from .plans.update import update
 from .queries import _LPG_EDGES, _NODES, Q, of, query, read, scratch
 from .schema import DEFINITION, LABEL, OWL, RDFS, SKOS, SUB, TERM, TYPE
-from .sources import rdf
+from .sources import rdf, rdfize
 from .sources.rdfize import EX, quads
 
 # -- terms ---------------------------------------------------------------------------------------
@@ -344,7 +344,7 @@ _MOVED = f"g = '{_SUPPLIER}' AND p = '{LABEL}' AND s IN (SELECT s FROM quads WHE
 def sparql_update(spark, d):
     return update(quads(spark, d), f"""WITH <{_SUPPLIER}> DELETE {{ ?x rdfs:label ?l }} INSERT {{ ?x skos:altLabel ?l }} WHERE {{ ?x a owl:Class ; rdfs:label ?l }} ;
       DELETE DATA {{ GRAPH <{_REGION}> {{ <{EX}region/1> a owl:Class }} }} ; CLEAR GRAPH <urn:graph:nation> ;
-      INSERT DATA {{ GRAPH <{_NEW}> {{ <http://x/a> rdfs:label "a \\"b\\""@en ; <http://x/level> 4 }} }}""")
+      INSERT DATA {{ GRAPH <{_NEW}> {{ <http://x/a> rdfs:label "a \\"b\\""@en ; <http://x/level> 4 }} }}""", repeats=rdfize.repeats(spark, d))
 
 
 @query("lpg_load_E7", f"{Q}, {_NODES}, {_LPG_EDGES} SELECT src, dst, type, max(CASE WHEN key = 'SUBCLASS_OF' THEN '{SUB}' ELSE key END) AS iri FROM ed GROUP BY src, dst, type UNION ALL SELECT iri, NULL, 'node', NULL FROM n")
