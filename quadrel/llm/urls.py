@@ -82,21 +82,23 @@ def templates(paths: DataFrame) -> DataFrame:
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     active = materialise(paths.select("host", "path", "n", segments.alias("segments"), none.alias("steps")), "paths")
     written, done, level = [active], [], 0
+    # a round is one plan that writes each path once, finished or not: plans of all rounds at once outgrow the driver
     while True:
         size = active.groupBy("host", "steps").agg(F.count(F.lit(1)).alias("paths"))
-        rest = F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), _step)
-        done.append(active.join(size.filter(F.col("paths") <= FEW), ["host", "steps"], "left_semi").select("host", "path", F.concat("steps", rest).alias("steps"), F.lit(level).alias("depth")))
-        large = active.join(size.filter(F.col("paths") > FEW), ["host", "steps"], "left_semi")
-        done.append(large.filter(F.size("segments") <= level).select("host", "path", "steps", F.lit(level).alias("depth")))
-        here = large.filter(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
-        children = here.groupBy("host", "steps", "segment").agg(F.sum("n").alias("n"))
+        at = active.withColumn("segment", F.get("segments", F.lit(level)))
+        children = at.filter("segment is not null").groupBy("host", "steps", "segment").agg(F.sum("n").alias("n"))
         above = children.groupBy("host", "steps").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         literal = children.join(above, ["host", "steps"]).filter((F.col("kinds") <= FEW) | ((F.col("n") >= LEAST) & (F.col("n") >= COMMON * F.col("total"))))
         literal = literal.filter(~F.col("segment").rlike(VARIABLE)).select("host", "steps", "segment", F.lit(True).alias("literal"))
+        rest = F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), _step)
         step = F.when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        nxt = here.join(literal, ["host", "steps", "segment"], "left").select("host", "path", "n", "segments", F.array_append("steps", step).alias("steps"))
-        active, level = materialise(nxt, "paths"), level + 1
-        written.append(active)
+        few, ended = F.col("paths") <= FEW, F.col("segment").isNull()
+        steps = F.when(few, F.concat("steps", rest)).when(ended, F.col("steps")).otherwise(F.array_append("steps", step))
+        placed = at.join(size, ["host", "steps"]).join(literal, ["host", "steps", "segment"], "left").select("host", "path", "n", "segments", steps.alias("steps"), (~few & ~ended).alias("open"))
+        placed, level = materialise(placed, "paths"), level + 1
+        written.append(placed)
+        done.append(placed.filter("not open").select("host", "path", "steps", F.lit(level - 1).alias("depth")))
+        active = placed.filter("open").drop("open")
         if active.isEmpty():
             break
     out = materialise(reduce(DataFrame.unionByName, done), "templates")
@@ -114,7 +116,7 @@ def purities(t: DataFrame) -> DataFrame:
     level = F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level")
     seen = own.select("host", "steps", "n", "bad", "labelled", level)
     seen = seen.select("host", "n", "bad", "labelled", "level", F.slice("steps", 1, F.col("level")).alias("node"), F.when(F.col("level") < F.size("steps"), F.col("steps")[F.col("level")]).otherwise(STOP).alias("next"))
-    by_next = seen.groupBy("host", "node", "level", "next").agg(*(F.sum(x).alias(x) for x in ("n", "bad", "labelled")))
+    by_next = materialise(seen.groupBy("host", "node", "level", "next").agg(*(F.sum(x).alias(x) for x in ("n", "bad", "labelled"))), "next")
     node = materialise(by_next.groupBy("host", "node", "level").agg(*(F.sum(x).alias(x) for x in ("n", "bad", "labelled"))), "nodes")
     # literal siblings: nodes under one parent whose last step is literal
     parent = F.slice("node", 1, F.col("level") - 1)
