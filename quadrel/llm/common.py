@@ -7,11 +7,15 @@ multi-byte character is an ASCII byte.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
@@ -83,6 +87,27 @@ def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int =
     return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: workers stay, and later tasks and stages need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterable], Iterator], each: bool = False) -> Callable[[Iterable], Iterator]:
+    """run, which gives freed memory back when its task begins and ends; with ``each``, after every batch too."""
+
+    def inner(batches: Iterable) -> Iterator:
+        give_back()
+        for batch in run(batches):
+            yield batch
+            if each:
+                give_back()
+        give_back()
+
+    return inner
+
+
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 

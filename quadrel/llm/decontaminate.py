@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import words_of
+from .common import tidy, words_of
 
 SIMILARITY, RECALL = 0.8, 0.99
 #: Items that travel to the tasks at once: at most about 10 MB.
@@ -332,7 +332,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, list[bytes]]], similarity: flo
                 rows = [(ids[lo + k], *x) for k, *x in index.search(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=fields)
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, edit_distance int, item_words int, end_word bigint")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, item_id bigint, edit_distance int, item_words int, end_word bigint")
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[bytes]]]]:
@@ -359,7 +359,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     text = docs.columns.index("text")
     out = docs
     for block in _blocks(benchmark):
-        out = out.mapInArrow(_without(_shared(docs, block, similarity, recall), text), docs.schema)
+        out = out.mapInArrow(tidy(_without(_shared(docs, block, similarity, recall), text)), docs.schema)
     return out
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, keep_ids, materialise, mix64
+from .common import connected_components, keep_ids, materialise, mix64, tidy
 from .words import Words, lots
 
 #: Shingles that a task gathers before it sends them off; documents likewise (their index has 16 bits).
@@ -113,7 +113,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
         if count:
             yield common()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id bigint, n bigint, digest binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "kind int, doc_id bigint, n bigint, digest binary")
 
 
 def _send(docs: DataFrame, size: int, parts: int, common: np.ndarray, t: Fraction) -> DataFrame:
@@ -166,7 +166,7 @@ def _send(docs: DataFrame, size: int, parts: int, common: np.ndarray, t: Fractio
         if ids:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "to int, flush string, docs binary, shingles binary, extra binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "to int, flush string, docs binary, shingles binary, extra binary")
 
 
 def _shared(group: pd.DataFrame) -> pd.DataFrame:
@@ -244,7 +244,7 @@ def _block_sets(docs: DataFrame, size: int) -> DataFrame:
                 part = rows[lo : lo + 200]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["rep", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep bigint, members binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "rep bigint, members binary")
 
 
 def overlap(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes that are cut and looked up together.
-LOT = 4_000_000
+LOT = 1_000_000
 _SPACE, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(6)
 # The rules under which chunks may be encoded apart.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
+
 FIT_DOCS, LONGEST = 20_000, 24
 # What a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou"}
@@ -79,7 +81,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k], pa.int64())], ["k", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(tidy(run), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SYMBOLS**3)
     for r in rows:
         out[r["k"]] = r["n"]
@@ -228,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[np.nd
         keys = list(seen[1])  # what no toxic text has cannot speak for toxicity
         yield pa.RecordBatch.from_arrays([pa.array(["", *keys], pa.string()), pa.array([n[0], *(seen[0][k] for k in keys)], pa.int64()), pa.array([n[1], *(seen[1][k] for k in keys)], pa.int64())], ["f", "clean", "toxic"])
 
-    found = train.select("text", "toxic").mapInArrow(tally, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = train.select("text", "toxic").mapInArrow(tidy(tally), "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     found = materialise(found, "features")
     size = found.filter("f = ''").first()
     clean, toxic = (size["clean"], size["toxic"]) if size else (0, 0)
@@ -247,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> tuple[np.nd
             rows = [sorted({index[f] for w in restore.text(t) for f in beginnings(w) if f in index}) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "on"])
 
-    rows = train.select("text", "toxic").mapInArrow(present, "toxic int, on array<int>").collect()  # at most FIT_DOCS short lists
+    rows = train.select("text", "toxic").mapInArrow(tidy(present), "toxic int, on array<int>").collect()  # at most FIT_DOCS short lists
     y = np.array([r["toxic"] for r in rows], float)
     at = np.repeat(np.arange(len(rows)), [len(r["on"]) for r in rows])
     on = np.array([i for r in rows for i in r["on"]], np.int64)
@@ -297,7 +299,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
+    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
@@ -311,7 +313,7 @@ def restored(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(restore.text(t.as_py()))) for t in batch.column(1)], pa.string())], ["doc_id", "restored"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, restored string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, restored string")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> DataFrame:
@@ -323,4 +325,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Data
         for batch in batches:
             yield batch.filter(pa.array([of(t.as_py()) < 0.5 for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
