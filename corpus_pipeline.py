@@ -17,9 +17,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrel.llm import decontaminate, exact_dedup, jaccard, packing, toxicity
-from quadrel.llm.common import load, materialise
+from quadrel.llm.common import collect_garbage, load, materialise
 
 SHINGLE_WORDS, SIMILARITY = 5, "0.8"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def rested(stage: Stage) -> Stage:
+    """stage, before which the executors give back the memory that the one before took."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +53,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_copies),
-    ("jaccard_join", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("packing", pack),
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", rested(drop_toxic)),
+    ("exact_dedup", rested(drop_copies)),
+    ("jaccard_join", rested(drop_near_copies)),
+    ("decontamination", rested(drop_benchmark)),
+    ("packing", rested(pack)),
 ]
 
 #: The stages learn, hash and tokenise; SQL cannot express them.

@@ -94,10 +94,37 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run: Callable[[Iterable], Iterator], each: bool = False) -> Callable[[Iterable], Iterator]:
-    """run, which gives freed memory back when its task begins and ends; with ``each``, after every batch too."""
+#: What this worker remembers from task to task, by name: what empties it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(keeps: str | None = None) -> None:
+    """Empty what this worker remembers, but for ``keeps``."""
+    for name, empty in KEPT.items():
+        if name != keeps:
+            empty()
+
+
+def spare(of_group: Callable) -> Callable:
+    """of_group, a function of one large group, which gives freed memory back when it is done."""
+
+    def inner(group):
+        forget()
+        out = of_group(group)
+        give_back()
+        return out
+
+    return inner
+
+
+def tidy(run: Callable[[Iterable], Iterator], each: bool = False, keeps: str | None = None) -> Callable[[Iterable], Iterator]:
+    """run, which gives freed memory back when its task begins and ends; with ``each``, after every batch too.
+
+    What earlier stages remembered in this worker (``KEPT``) is forgotten first, but for ``keeps``.
+    """
 
     def inner(batches: Iterable) -> Iterator:
+        forget(keeps)
         give_back()
         for batch in run(batches):
             yield batch
@@ -108,6 +135,13 @@ def tidy(run: Callable[[Iterable], Iterator], each: bool = False) -> Callable[[I
     return inner
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have every executor's JVM collect and shrink its heap: else what one stage left there stands beside the next one's workers."""
+    executors = max(1, len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1)
+    # an idle cluster deals as many tasks as executors one to each; not deterministic, so it runs there
+    spark.range(0, executors, 1, executors).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, keep_ids, materialise, mix64, tidy
+from .common import connected_components, keep_ids, materialise, mix64, spare, tidy
 from .words import Words, lots
 
 #: Shingles that a task gathers before it sends them off; documents likewise (their index has 16 bits).
@@ -231,8 +231,8 @@ def candidates(reps: DataFrame, size: int, t: Fraction, common: np.ndarray, shin
     parts = int(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // 2_000_000))
     sent = _send(reps, size, parts, common, t)
     # notes pass through the tasks of the hash ranges, so that one read of the texts and one shuffle serve both
-    back = sent.groupBy("to").applyInPandas(_shared, "flush string, docs binary, shingles binary, extra binary")
-    out = back.groupBy("flush").applyInPandas(_prefixes(t), "rep bigint, shingle bigint, n bigint")
+    back = sent.groupBy("to").applyInPandas(spare(_shared), "flush string, docs binary, shingles binary, extra binary")
+    out = back.groupBy("flush").applyInPandas(spare(_prefixes(t)), "rep bigint, shingle bigint, n bigint")
     return materialise(out, "prefixes")
 
 

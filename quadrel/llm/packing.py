@@ -55,7 +55,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM,
                 columns = [batch.column(0).take(pa.array(doc[part])), start[part], length[part], size[doc[part]], [zlib.crc32(x) for x in own], *([[x.tobytes() for x in own]] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields)], schema=fields)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run, each=True), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run, each=True, keeps="pieces"), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def patterns(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, list[tuple[int, int]]]]:

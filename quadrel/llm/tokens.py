@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from .common import KEPT
+
 #: Bytes that are cut and looked up together.
 LOT = 1_000_000
 _SPACE, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(6)
@@ -277,6 +279,7 @@ def _strings(low: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[str]:
 
 
 _pieces: dict[str, Pieces] = {}
+KEPT["pieces"] = _pieces.clear
 
 
 def pieces_of(path: str) -> Pieces:
