@@ -7,7 +7,7 @@ the next id: order 2 the id last seen after the same two ids, order 1 the one la
 same id, both with a confidence, and order 0 a distribution, the ids' counts in the block so far (as
 of the last power of two of ids). What remains is a fixed prior that falls with the id. The shares of
 order 2, 1, 0 and the prior mix two adaptive models (confidence of the predictions; outcomes of the
-last two ids) by a weight that follows how well each has predicted. A carry-less range coder codes, as
+last two ids) by a weight that follows how well each has predicted; shares are small integers, four to a word. A carry-less range coder codes, as
 one interval, which of the four it is and, for the last two, the id.
 
 All blocks of a segment advance together, one id a step, as numpy lanes; a lane never reads
@@ -18,7 +18,8 @@ Files are written in ascending doc_id order: range-partitioned, sorted, segments
 document boundaries. Bytes go through Spark's writers, so any store Spark reaches will do.
 
 Defined cases: null text: only the end id; null doc_ids come first; equal doc_ids: ordered by
-text; a document longer than a segment makes its segment longer; other columns are ignored; empty
+text; a document longer than a segment makes its segment longer, and a task's last segment takes the rest, so it has up to
+twice as many ids; other columns are ignored; empty
 table: no file rows; a vocabulary of more than 65,536 ids is refused.
 """
 
@@ -36,15 +37,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialise
 from .tokens import default_path, pieces_of
 
-MAGIC, BLOCK, END = b"QIDS0003", 2048, 1
+MAGIC, BLOCK, END = b"QIDS0004", 2048, 1
 #: Ids of a segment, about; more blocks side by side cost less time an id.
 SEGMENT = 4_000_000
 #: Frequencies add up to 2**SHARE_BITS for the shares, to 2**ID_BITS for the ids under one of them.
 SLOT_BITS, SHARE_BITS, ID_BITS = 10, 12, 18
 NO_DOC = -(2**63)
-_32, _WORD, _LAST, _FULL = (np.uint64(x) for x in (32, 1 << 32, (1 << 32) - 1, (1 << 64) - 1))
+#: Constants are arrays without dimensions, which numpy need not convert at every step.
+_32, _WORD, _LAST, _FULL = (np.array(x, np.uint64) for x in (32, 1 << 32, (1 << 32) - 1, (1 << 64) - 1))
+#: Lanes whose counts are taken together: bounds the memory.
+LOT = 128
 #: Order 0 takes the counts of the block's ids anew after so many of them.
 FIRST_COUNTS = 16
+#: Steps that the encoder looks ahead; few enough that their arrays stay near the processor. Divides FIRST_COUNTS.
+AHEAD = 8
 
 
 def _prior() -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +63,16 @@ def _prior() -> tuple[np.ndarray, np.ndarray]:
 
 PACK = 20
 PRIOR, PRIOR_ID = _prior()
-#: What outcome each share should have been.
-_HIT = np.eye(4, dtype=np.float32)
-_LEAST, _MOST = np.float32(0.02), np.float32(0.98)
+#: The four shares (orders 2, 1 and 0, the prior) are 16-bit fields of one word, 12 bits each; they never add up to more than 4,092.
+_FIELDS, _FIFTH, _EVEN = (np.array(x * 0x0001000100010001, np.uint64) for x in (0xFFF, 0x7F, 1023))
+#: By this factor the fields become what lies before each share.
+_BEFORE = np.array(0x0001000100010000, np.uint64)
+#: What a hit adds, as a 32nd of each share goes.
+_GAIN, _SHARE = np.array(124, np.uint64), np.array(0xFFFF, np.uint64)
+_4, _5, _15, _48 = (np.array(x, np.uint64) for x in (4, 5, 15, 48))
+_TOPS = np.array(0x8000800080000000, np.uint64)
+#: The first model's weight has 16 steps, each of so many bits of difference between the two shares of what came.
+_PACE = 13
 #: Confidence after a prediction (2 * confidence so far + whether it held), in the bits above the id.
 _SURE = np.array([1, 1, 0, 2, 1, 3, 1, 3], np.int32) << 16
 
@@ -67,73 +80,72 @@ _SURE = np.array([1, 1, 0, 2, 1, 3, 1, 3], np.int32) << 16
 class _Model:
     """State of all lanes: predictions of orders 1 and 2, and the mixed shares of orders 2, 1 and 0.
 
-    A prediction entry is an id and, above 16 bits, how often it has held (0 to 3).
+    A prediction entry is an id and, above 16 bits, how often it has held (0 to 3). Rows of arrays with
+    two rows are orders 1 and 2, or the models by confidence and by the last outcomes.
     """
 
     def __init__(self, lanes: int):
-        self.lanes, n = lanes, 1 << SLOT_BITS
+        n = 1 << SLOT_BITS
         lane = np.arange(lanes, dtype=np.int64)
-        self.at = lane * n
-        self.one_of, self.two_of = np.zeros(lanes * n, np.int32), np.zeros(lanes * n, np.int32)
-        # rows of four shares: orders 2, 1 and 0, and the prior
-        self.a, self.b = np.full((32 * lanes, 4), 0.25, np.float32), np.full((16 * lanes, 4), 0.25, np.float32)
-        self.base_a, self.base_b, self.base = lane * 32, lane * 16, lane * 5
-        self.weight = np.full((lanes, 4), 0.5, np.float32)  # four times the same
-        self.h1, self.h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.past = np.zeros(lanes, np.int64)
-        self.bound = np.zeros((lanes, 5), np.int64)
-        self.bound[:, 4] = 1 << SHARE_BITS
-        self.flat = self.bound.reshape(-1)
-
-    @staticmethod
-    def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return table.view(np.complex128)[:, 0].take(at).view(np.float32).reshape(-1, 4)  # a row at once
-
-    def predict(self) -> None:
-        mask = (1 << SLOT_BITS) - 1
-        self.s1 = ((self.h1 >> 4) & mask) + self.at
-        self.s2 = ((self.h1 * 5 + self.h2 >> 4) & mask) + self.at
-        e1, e2 = self.one_of.take(self.s1), self.two_of.take(self.s2)
-        self.p1, self.p2, self.c1, self.c2 = e1 & 0xFFFF, e2 & 0xFFFF, e1 >> 16, e2 >> 16
-        self.ka = self.base_a + ((self.c2 << 2) + self.c1 + ((self.p1 == self.p2) << 4))
-        self.kb = self.base_b + self.past
-        self.qa, self.qb = self._rows(self.a, self.ka), self._rows(self.b, self.kb)
-        self.gap = self.qa - self.qb
-        self.mixed = self.gap * self.weight
-        self.mixed += self.qb
-        f = (self.mixed * np.float32((1 << SHARE_BITS) - 16)).astype(np.int64)
-        f += 1
-        bound = self.bound  # of the outcomes; the last takes what is left
-        bound[:, 1] = f[:, 0]
-        np.add(bound[:, 1], f[:, 1], out=bound[:, 2])
-        np.add(bound[:, 2], f[:, 2], out=bound[:, 3])
-
-    def span(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative and own frequency of each lane's outcome."""
-        at = self.base + out
-        low = self.flat.take(at)
-        return low, self.flat.take(at + 1) - low
-
-    def update(self, ids: np.ndarray, out: np.ndarray) -> None:
-        hit = self._rows(_HIT, out)
-        lean = hit - self.mixed
-        lean *= self.gap
-        total = lean[:, 0] + lean[:, 1]
-        total += lean[:, 2]
-        total += lean[:, 3]
-        total *= np.float32(0.05)
-        self.weight += np.repeat(total, 4).reshape(-1, 4)
-        np.maximum(self.weight, _LEAST, out=self.weight)
-        np.minimum(self.weight, _MOST, out=self.weight)
-        for table, at, q, rate in ((self.a, self.ka, self.qa, np.float32(0.03)), (self.b, self.kb, self.qb, np.float32(0.02))):
-            step = hit - q
-            step *= rate
-            step += q
-            table.view(np.complex128)[at, 0] = step.view(np.complex128)[:, 0]  # a row at once
-        for table, slot, p, c in ((self.one_of, self.s1, self.p1, self.c1), (self.two_of, self.s2, self.p2, self.c2)):
-            table[slot] = np.where(c > 1, p, ids) | _SURE.take((c << 1) + (p == ids))
-        self.h2, self.h1 = self.h1, (ids.astype(np.int64) + 1) * 40503
-        self.past = ((self.past << 2) & 15) + out
+        self.at = np.stack([lane * 2 * n, lane * 2 * n + n])
+        self.told = np.zeros(lanes * 2 * n, np.int32)
+        self.slots, self.keys, self.h = self.at.copy(), np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64)
+        self.shares = np.full(48 * lanes, _EVEN)  # of each lane, 32 by confidence and 16 by outcomes
+        self.base = np.stack([lane * 48, lane * 48 + 32])
+        self.lean = np.full(lanes, 8 << _PACE, np.int64)
+
+    def predict(self) -> np.ndarray:
+        """The predicted ids of orders 1 and 2; ``keys[0]`` is their context."""
+        self.entry = self.told.take(self.slots)
+        self.ids = self.entry & 0xFFFF
+        self.sure = self.entry >> 16
+        key = self.sure[1] << 2
+        key += self.sure[0]
+        key += (self.ids[0] == self.ids[1]).view(np.int8) << 4
+        np.add(key, self.base[0], out=self.keys[0])
+        return self.ids
+
+    def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
+        """ids (int32) have come; held: whether each order had predicted them."""
+        self.sure <<= 1
+        self.sure += held
+        new = np.where(self.entry >= 2 << 16, self.ids, ids)
+        new |= _SURE.take(self.sure)
+        self.told[self.slots] = new
+        h, slots = np.multiply(ids, 40503, dtype=np.int64), self.slots
+        h += 40503
+        slots[0] = h
+        np.multiply(h, 5, out=slots[1])
+        slots[1] += self.h
+        slots >>= 4
+        slots &= (1 << SLOT_BITS) - 1
+        slots += self.at
+        self.h = h
+
+    def mix(self, keys: np.ndarray) -> np.ndarray:
+        """The shares in the context of ``keys``, mixed by weight."""
+        self.at_keys, self.both = keys, self.shares.take(keys)
+        mixed = self.both[0] - self.both[1]  # fields may borrow from each other; the sum below is exact again
+        mixed *= (self.lean >> _PACE).view(np.uint64)
+        mixed += self.both[1] << _4
+        mixed >>= _4
+        mixed &= _FIELDS
+        return mixed
+
+    def adapt(self, shift: np.ndarray) -> None:
+        """The outcome whose field begins at bit ``shift`` has come."""
+        of = self.both >> shift
+        of &= _SHARE
+        of = of.view(np.int64)
+        self.lean += of[0]
+        self.lean -= of[1]
+        np.maximum(self.lean, 1 << _PACE, out=self.lean)
+        np.minimum(self.lean, (16 << _PACE) - 1, out=self.lean)
+        gone = self.both >> _5
+        gone &= _FIFTH
+        self.both -= gone
+        self.both += _GAIN << shift
+        self.shares[self.at_keys] = self.both
 
 
 class _Writer:
@@ -165,7 +177,9 @@ class _Writer:
 def _cut(low, size):
     """A small range that crosses a word's end is cut there, so that the word to shift out is settled."""
     crosses = ((low ^ (low + size)) >> _32) != 0
-    return np.where(crosses, (~low + np.uint64(1)) & _LAST, size) if crosses.any() else size
+    at = np.flatnonzero(crosses)
+    size[at] = -low[at] & _LAST
+    return size
 
 
 class _Reader:
@@ -193,7 +207,8 @@ class _Reader:
 
 
 _OWN = (1 << PACK) - 1
-_BITS, _TOP = np.uint64(SHARE_BITS + ID_BITS), np.uint64((1 << SHARE_BITS + ID_BITS) - 1)
+_ID, _THREE = np.array(ID_BITS, np.uint64), np.array(0x0001000100010001, np.uint64)
+_BITS, _TOP = np.array(SHARE_BITS + ID_BITS, np.uint64), np.array((1 << SHARE_BITS + ID_BITS) - 1, np.uint64)
 
 
 def _counting(step: int) -> bool:
@@ -205,8 +220,8 @@ def _ranks(grid: np.ndarray) -> np.ndarray:
     """Place of each id's count among its lane's counts: steps by lanes. Lots of lanes bound the memory."""
     lanes, block = grid.shape
     out = np.empty((block, lanes), np.int32)
-    for lo in range(0, lanes, 128):
-        lot = grid[lo : lo + 128]
+    for lo in range(0, lanes, LOT):
+        lot = grid[lo : lo + LOT]
         order = np.argsort(lot, axis=1, kind="stable")
         ordered = np.take_along_axis(lot, order, 1)
         dense = np.zeros(lot.shape, np.int32)
@@ -219,44 +234,54 @@ def _ranks(grid: np.ndarray) -> np.ndarray:
 
 
 def _encode_lanes(grid: np.ndarray) -> list[bytes]:
-    """Code of each row of ids (uint16)."""
+    """Code of each row of ids (uint16). What does not wait for the step before is done for AHEAD steps at once."""
     lanes, block = grid.shape
     ranks, steps = _ranks(grid), np.ascontiguousarray(grid.T)
     counts, shift = np.zeros(lanes * block, np.int32), 0  # cumulative above 16 bits, own below
     model, writer = _Model(lanes), _Writer(lanes, block + 8)  # an interval costs one word at most
-    for k in range(block):
+    last = np.zeros((2, lanes), np.int8)
+    for k in range(0, block, AHEAD):
         if _counting(k):
-            count = np.bincount(ranks[:k].reshape(-1), minlength=lanes * block).astype(np.int32)
             shift = ID_BITS - k.bit_length() + 1
-            counts = np.cumsum(count, dtype=np.int32)
-            counts -= count
-            by_lane = counts.reshape(lanes, block)
-            by_lane -= np.arange(lanes, dtype=np.int32)[:, None] * k
-            counts <<= 16
-            counts |= count
-            del count
-        now, at = steps[k].astype(np.int32), ranks[k].astype(np.int64)
-        model.predict()
-        pair, fresh = counts.take(at), PRIOR.take(now)
-        low, freq = pair >> 16, pair & 0xFFFF
-        out = (freq == 0).view(np.int8) + np.int8(1)
-        out *= (now != model.p1).view(np.int8)
-        out += np.int8(1)
-        out *= (now != model.p2).view(np.int8)
-        new, told = out == 3, out < 2
-        low <<= shift
-        freq <<= shift
-        np.copyto(low, fresh >> PACK, where=new, casting="unsafe")
-        np.copyto(freq, fresh & _OWN, where=new, casting="unsafe")
+            for lo in range(0, lanes, LOT):
+                lot = ranks[:k, lo : lo + LOT] - lo * block
+                count = np.bincount(lot.reshape(-1), minlength=lot.shape[1] * block).reshape(-1, block)
+                counts[lo * block : lo * block + count.size] = ((np.cumsum(count, axis=1) - count << 16) + count).reshape(-1)
+        now = steps[k : k + AHEAD].astype(np.int32)
+        n = len(now)
+        held, keys = np.empty((n, 2, lanes), bool), np.empty((n, 2, lanes), np.int64)
+        for i in range(n):
+            np.equal(model.predict(), now[i], out=held[i])
+            keys[i, 0] = model.keys[0]
+            model.learn(now[i], held[i])
+        pair, fresh = counts.take(ranks[k : k + n]), PRIOR.take(now)
+        freq = pair & 0xFFFF
+        new = freq == 0
+        out = np.empty((n + 2, lanes), np.int8)
+        out[:2] = last
+        own = out[2:]
+        np.add(new.view(np.int8), 1, out=own)
+        own *= ~held[:, 0]
+        own += 1
+        own *= ~held[:, 1]
+        last = out[n:].copy()
+        keys[:, 1] = (out[:n] << 2) + out[1 : n + 1]
+        keys[:, 1] += model.base[1]
+        told = own < 2
+        low, freq = np.where(new, fresh >> PACK, pair >> 16 << shift), np.where(new, fresh & _OWN, freq << shift)
         np.copyto(low, 0, where=told)
         np.copyto(freq, 1 << ID_BITS, where=told)
-        out = out.astype(np.int64)
-        begin, share = model.span(out)
-        begin <<= ID_BITS
+        field, mixed = own.astype(np.uint64) << _4, np.empty((n, lanes), np.uint64)
+        for i in range(n):
+            mixed[i] = model.mix(keys[i])
+            model.adapt(field[i])
+        share = (mixed >> field & _SHARE).view(np.int64)
+        mixed *= _BEFORE
+        begin = (mixed >> field & _SHARE).view(np.int64) << ID_BITS
         begin += share * low
         share *= freq
-        writer.put(begin, share)
-        model.update(now, out)
+        for i in range(n):
+            writer.put(begin[i], share[i])
     return writer.close()
 
 
@@ -264,50 +289,64 @@ def _decode_lanes(code: bytes, begin: np.ndarray, block: int) -> np.ndarray:
     """Rows of ids of the codes that begin there."""
     lanes = len(begin)
     model, reader = _Model(lanes), _Reader(code, begin)
-    steps, lane = np.empty((block, lanes), np.uint16), np.arange(lanes)
-    counts, size, shift = np.ones(1, np.int64), 0, 0  # of each place in the ordered ids: cumulative above 32 bits, id above 16, own
+    steps, lane, past = np.empty((block, lanes), np.uint16), np.arange(lanes), np.zeros(lanes, np.int64)
+    counts, size, shift = np.ones(1, np.int64), 0, 0  # of each place in the ordered ids: id above 40 bits, cumulative above PACK, own
     for k in range(block):
         if _counting(k):
             size, shift = k, ID_BITS - k.bit_length() + 1
-            ordered = np.sort(steps[:k].T, axis=1, kind="stable").reshape(-1)
-            starts = np.ones(lanes * k, bool)
-            starts[1:] = ordered[1:] != ordered[:-1]
-            starts[::k] = True
-            at = np.flatnonzero(starts)
-            length = np.diff(np.append(at, lanes * k))
-            counts = np.repeat((at % k << 32) + (ordered[at].astype(np.int64) << 16) + length, length)
-            del ordered, starts, at, length
-        model.predict()
+            counts = np.empty(lanes * k, np.int64)
+            for lo in range(0, lanes, LOT):
+                ordered = np.sort(steps[:k, lo : lo + LOT].T, axis=1, kind="stable").reshape(-1)
+                starts = np.ones(len(ordered), bool)
+                starts[1:] = ordered[1:] != ordered[:-1]
+                starts[::k] = True
+                at = np.flatnonzero(starts)
+                length = np.diff(np.append(at, len(ordered)))
+                counts[lo * k : lo * k + len(ordered)] = np.repeat((ordered[at].astype(np.int64) << 40) + (at % k << PACK + shift) + (length << shift), length)
+        of_one, of_two = model.predict()
+        np.add(past, model.base[1], out=model.keys[1])
+        mixed = model.mix(model.keys)
         v = reader.value()
-        which, bound = v >> ID_BITS, model.bound
-        out = (which >= bound[:, 1]).view(np.int8) + (which >= bound[:, 2])
-        out += which >= bound[:, 3]
-        new, told = out == 3, out < 2
-        now = np.where(out == 0, model.p2, model.p1)
-        out = out.astype(np.int64)
-        cum, share = model.span(out)
+        before = mixed * _BEFORE
+        x = v.view(np.uint64) >> _ID
+        x *= _BEFORE
+        x |= _TOPS
+        x -= before
+        x &= _TOPS
+        x >>= _15
+        x *= _THREE
+        x >>= _48  # the number of shares that begin at or before the value
+        field = x << _4
+        out = x.view(np.int64)
+        before >>= field
+        before &= _SHARE
+        cum = before.view(np.int64)
         cum <<= ID_BITS
+        mixed >>= field
+        mixed &= _SHARE
+        share = mixed.view(np.int64)
         v -= cum
         v = (v / share).astype(np.int64)  # exact: a quotient of fewer than 53 bits
         at = v >> shift
         at += lane * size
         pair = counts.take(at, mode="clip")  # bad code may ask for what isn't there
-        low, freq = pair >> 32, pair & 0xFFFF
-        low <<= shift
-        freq <<= shift
-        fresh = PRIOR_ID.take(v)
-        prior = PRIOR.take(fresh)
-        np.copyto(low, prior >> PACK, where=new)
-        np.copyto(freq, prior & _OWN, where=new)
-        np.copyto(low, 0, where=told)
-        np.copyto(freq, 1 << ID_BITS, where=told)
-        ids = (pair >> 16 & 0xFFFF).astype(np.int32)
-        np.copyto(ids, fresh, where=new)
-        np.copyto(ids, now, where=told)
-        cum += share * low
-        share *= freq
+        new = np.flatnonzero(out == 3)
+        if len(new):
+            fresh = PRIOR_ID.take(v.take(new), mode="clip")
+            pair[new] = PRIOR.take(fresh) + (fresh.astype(np.int64) << 40)
+        now = np.where(out == 0, of_two, of_one).astype(np.int64)
+        now <<= 40
+        now += 1 << ID_BITS
+        np.copyto(pair, now, where=out < 2)
+        ids = (pair >> 40).astype(np.int32)
+        cum += share * (pair >> PACK & _OWN)
+        share *= pair & _OWN
         reader.take(cum, share)
-        model.update(ids, out)
+        model.adapt(field)
+        model.learn(ids, model.ids == ids)
+        past <<= 2
+        past &= 15
+        past += out
         steps[k] = ids
     return np.ascontiguousarray(steps.T)
 
@@ -392,13 +431,12 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END, se
         names: list[int | None] = []
         lengths: list[int] = []
         found: list[np.ndarray] = []
-        held = 0
+        held, whole = 0, None  # a full segment waits for a short rest, as a segment of few blocks costs most an id
 
-        def flush() -> pa.RecordBatch:
-            nonlocal seq, held
-            row = (part, seq, len(names), held, encode(names, lengths, np.concatenate(found)))
-            names.clear(), lengths.clear(), found.clear()
-            seq, held = seq + 1, 0
+        def flush(names: list[int | None], lengths: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal seq
+            row = (part, seq, len(names), sum(lengths), encode(names, lengths, np.concatenate(found)))
+            seq += 1
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields)], schema=fields)
 
         for batch in batches:
@@ -417,10 +455,14 @@ def write_ids(docs: DataFrame, vocabulary: str | None = None, end: int = END, se
                 found.append(ids[base : ends[hi - 1]])
                 held += int(ends[hi - 1]) - base
                 if held >= segment:
-                    yield flush()
+                    if whole:
+                        yield flush(*whole)
+                    whole, names, lengths, found, held = (names, lengths, found), [], [], [], 0
                 lo = hi
+        if whole:
+            names, lengths, found = (a + b for a, b in zip(whole, (names, lengths, found)))
         if names:
-            yield flush()
+            yield flush(names, lengths, found)
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

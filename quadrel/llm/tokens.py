@@ -93,6 +93,10 @@ class Pieces:
         # the model alone, for chunks that the rules neither change nor part
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # bytes of each id, as byte-level tokens have a character a byte: they tell where chunks end, which the fast way of encoding does not
+        vocabulary, suffix = self.bare.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(t.removesuffix(suffix)) for t in vocabulary]
         self.clear()
 
     def clear(self) -> None:
@@ -137,10 +141,10 @@ class Pieces:
         own = raw[lo:hi]
         n = len(own)
         low = np.zeros(n + 16, np.uint8)
-        low[:n] = _LOWER[own]
+        low[:n] = _mapped(own, _LOWER)
         kind = np.zeros(n + 2, np.uint8)  # white space around
-        kind[1:-1] = _KIND[own]
-        odd = _ODD[own]
+        kind[1:-1] = _mapped(own, _KIND)
+        odd = _mapped(own, _ODD).astype(bool)
         if own.max(initial=0) >= 128:
             high = np.flatnonzero(own[:-1] == 0xC3)
             high = high[(own[high + 1] != 0x97) & (own[high + 1] != 0xB7)]
@@ -156,7 +160,7 @@ class Pieces:
             low[a:b] = own[a:b]
             odd[a:b] = True
             kind[a + 1 : b + 1][kind[a + 1 : b + 1] != _SPACE] = _OTHER
-        starts = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
+        starts = _mapped(kind[:-1] * np.uint8(6) + kind[1:], _CUT).astype(bool)
         first = offsets[(offsets >= lo) & (offsets < hi)] - lo
         starts[first[kind[first + 1] != _SPACE]] = True
         begin = np.flatnonzero(starts)
@@ -243,11 +247,21 @@ class Pieces:
             self.entry[slot[here]] = entry[here]
             h, entry, slot = h[~here], entry[~here], (slot[~here] + 1) & ((1 << self.bits) - 1)
 
+    def _encoded(self, new: list[str], library) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these chunks, number of ids of each)."""
+        if library is self.bare:
+            ids = np.array(library.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            upto, ends = np.cumsum(self.bytes[ids]), np.cumsum([len(x.encode()) for x in new])
+            last = np.searchsorted(upto, ends, "right") - 1
+            if len(ids) and upto[-1] == ends[-1] and (upto[last] == ends).all():
+                return ids, np.diff(last, prepend=-1)
+        e = library.encode(new, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+
     def _learn(self, new: list[str], h: np.ndarray | None, seen: np.ndarray, library) -> None:
         for lo in range(0, len(new), 16_384):  # in lots, as encodings take far more memory than their ids
-            e = library.encode(new[lo : lo + 16_384], is_pretokenized=True, add_special_tokens=False)
-            ids, n = np.array(e.ids, np.uint32), len(new[lo : lo + 16_384])
-            size = np.bincount(np.array(e.word_ids, np.int64), minlength=n)
+            ids, size = self._encoded(new[lo : lo + 16_384], library)
+            n = len(size)
             first = self.count
             while first + n > len(self.begin):
                 self.begin, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.seen))
@@ -267,6 +281,11 @@ class Pieces:
                 self._insert(h[lo : lo + n], np.arange(first, first + n, dtype=np.int32))
 
 
+def _mapped(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The table's entry of each byte."""
+    return np.frombuffer(x.tobytes().translate(table.astype(np.uint8).tobytes().ljust(256, b"\0")), np.uint8)
+
+
 def _any(marked: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether any byte of each range is marked."""
     upto = np.concatenate([[0], np.cumsum(marked, dtype=np.int32)])

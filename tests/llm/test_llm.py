@@ -343,6 +343,44 @@ def test_id_files(spark, corpus):
     assert idfile.write_ids(table(spark, [])).isEmpty()
 
 
+def test_short_rests_join_full_segments(spark):
+    """Of a task's segments none but an only one is short: few blocks cost most an id."""
+    r = random.Random(5)
+    files = idfile.write_ids(table(spark, [(i, prose(r, 40)) for i in range(500)]).coalesce(1), segment=3000)
+    rows = files.select("part", "seq", "n_docs", "n_ids").collect()
+    assert sum(x.n_docs for x in rows) == 500
+    for part in {x.part for x in rows}:
+        sizes = [x.n_ids for x in sorted(rows, key=lambda x: x.seq) if x.part == part]
+        assert len(sizes) == 1 or min(sizes) >= 3000
+        assert max(sizes) < 6000 + 500
+
+
+def test_shares_stay_in_their_fields():
+    """Packed shares: whatever comes and goes, none is 0, all of a context add up to at most 4,092, and mixes are those of plain fractions."""
+    r = np.random.default_rng(2)
+    model = idfile._Model(50)
+    for step in range(3000):
+        likely = np.arange(50) % 4 if step < 1000 else np.full(50, 3) if step < 2000 else np.where(r.random(50) < 0.9, 1, r.integers(0, 4, 50))
+        keys = model.base + np.stack([r.integers(0, 32, 50) if step % 2 else np.zeros(50, np.int64), r.integers(0, 16, 50)])
+        one, two = (model.shares[k].view(np.uint16).reshape(-1, 4).astype(np.int64) for k in keys)
+        w = (model.lean >> idfile._PACE)[:, None]
+        mixed = model.mix(keys).view(np.uint16).reshape(-1, 4)
+        assert (mixed == one * w + two * (16 - w) >> 4).all() and mixed.min() > 0 and mixed.sum(1).max() <= 4092
+        model.adapt(likely.astype(np.uint64) << np.uint64(4))
+        assert 1 <= w.min() and w.max() <= 15
+
+
+def test_new_chunks_are_encoded_alike():
+    """The fast way gives the library's ids and, by their bytes, each chunk's own number, or leaves it to the slow way."""
+    p = tokens.Pieces(tokens.default_path())
+    r = random.Random(4)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 30))) for _ in range(2000)] + ["\u00e9t\u00e9", "!!", "7"]
+    for new in (plain, ["</w>", "ab", "</w>x"], ["a"]):
+        each = [p.bare.encode([x], is_pretokenized=True, add_special_tokens=False).ids for x in new]
+        ids, size = p._encoded(new, p.bare)
+        assert ids.tolist() == [i for x in each for i in x] and size.tolist() == [len(x) for x in each]
+
+
 # -- toxicity ------------------------------------------------------------------------------------
 
 
