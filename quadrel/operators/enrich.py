@@ -69,17 +69,28 @@ class Enricher:
     def bridge(self) -> DataFrame:
         return triples(self.bridge_log().filter("axiom is not null"), F.col("s"), F.col("axiom"), F.col("o")).distinct()
 
-    @cached_property
-    def asserted(self) -> DataFrame:
+    def _stated(self) -> DataFrame:
         out = self.ontology
         for part in (self.vocabulary, self.lift(), self.bridge(), self.mappings):
             out = out.unionByName(part)
-        return cut(out.distinct())
+        return out
+
+    @cached_property
+    def asserted(self) -> DataFrame:
+        return cut(self._stated().distinct())
 
     @cached_property
     def inferred(self) -> DataFrame:
         return closure_rl(self.asserted, self.tiers)
 
+    @cached_property
+    def hierarchy(self) -> DataFrame:
+        """Subclass and equivalence triples of ``inferred``; in tier 1 they follow from each other alone, so types of individuals are not derived."""
+        own = F.col("p").isin(str(SUB), str(EQUIVALENT))
+        if tuple(self.tiers) != (1,) or "inferred" in self.__dict__:
+            return self.inferred.filter(own)
+        return closure_rl(cut(self._stated().filter(own).distinct()), self.tiers)
+
     @cached_property
     def new(self) -> DataFrame:
         return cut(new_triples(self.inferred, self.asserted))

@@ -66,8 +66,8 @@ class Patterns:
     def p1(self) -> DataFrame:
         """concept, equivalent_to, derived_ancestors (sorted by IRI; an equivalent class is an ancestor too)."""
         c = self.e.concepts
-        up = pairs(self.e.inferred, RDFS.subClassOf, "concept", "t").filter(self.e.in_ontology(F.col("t")) & (F.col("t") != F.col("concept"))).join(c, "concept", "left_semi")
-        eq = pairs(self.e.inferred, EQUIVALENT, "concept", "t").filter(self.e.in_ontology(F.col("t"))).join(c, "concept", "left_semi")
+        up = pairs(self.e.hierarchy, RDFS.subClassOf, "concept", "t").filter(self.e.in_ontology(F.col("t")) & (F.col("t") != F.col("concept"))).join(c, "concept", "left_semi")
+        eq = pairs(self.e.hierarchy, EQUIVALENT, "concept", "t").filter(self.e.in_ontology(F.col("t"))).join(c, "concept", "left_semi")
         listed = lambda d, n: d.groupBy("concept").agg(F.array_sort(F.collect_set("t")).alias(n))
         none = F.array().cast("array<string>")
         both = listed(eq, "equivalent_to").join(listed(up, "derived_ancestors"), "concept", "full")
